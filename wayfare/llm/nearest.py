@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.columns import floor_div
+from wayfare.session import cut
 
 #: Rows that one Arrow group is meant to hold, of both sides together.
 GROUP_ROWS = 60_000
@@ -50,10 +51,11 @@ def nearest_by_time(
     lefts = left.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).select(
         F.col(entity).alias("entity"), F.col(at).alias("at"), F.col(rid).alias("left_id")
     )
+    lefts = cut(lefts)
     entity, at, rid = right_cols
     rights = right.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(entity).alias("entity"), F.col(at).alias("at"))
     rights = rights.agg(F.min(rid).alias("rid"))
-    groups = max(1, math.ceil((left.count() + right.count()) / group_rows))
+    groups = max(1, math.ceil((lefts.count() + right.count()) / group_rows))
     group = F.pmod(F.xxhash64("entity", "bucket"), F.lit(groups)).cast("int")
     probe = lefts.select("entity", "at").distinct().withColumn("bucket", floor_div(F.col("at"), width))
     ends = F.array_distinct(F.array(floor_div(F.col("at") - tolerance_us, width), floor_div(F.col("at") + tolerance_us, width)))
