@@ -29,17 +29,35 @@ _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 _HALF = r"(?:\s*([AaPp])\.?[Mm]\.?)?"
 _ZONE = r"\s*([Zz]|[+-]\d{2}(?::?\d{2})?|[A-Za-z][A-Za-z_]*(?:/[A-Za-z0-9_+\-]+)+|[A-Za-z]{2,5})?"
 _WEEKDAY = r"(?:[A-Za-z]{3,9},?\s+)?"
-# Fields of the record that every form is brought into.
-_FIELDS = ("year", "month", "day", "first", "second_", "month_name", "hour", "minute", "second", "fraction", "half", "zone", "count")
-#: Each form and the record made of its groups; a text matches at most one, the rest pass it through.
-_FORMS = (
-    (r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T ]\s*" + _CLOCK + _ZONE, "=|$1|$2|$3||||$4|$5|$6|$7||$8||"),
-    (r"(\d{4})(\d{2})(\d{2})[T ]?(\d{2})(\d{2})(\d{2})(?:[.,]?(\d{3}))?" + _ZONE, "=|$1|$2|$3||||$4|$5|$6|$7||$8||"),
-    (r"(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})[T,]?\s*" + _CLOCK + _HALF + _ZONE, "=|$3|||$1|$2||$4|$5|$6|$7|$8|$9||"),
-    (_WEEKDAY + r"(\d{1,2})[\s\-]([A-Za-z]{3,9})\.?[\s\-](\d{4}),?\s+" + _CLOCK + _HALF + _ZONE, "=|$3||$1|||$2|$4|$5|$6|$7|$8|$9||"),
-    (_WEEKDAY + r"([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4}),?\s+" + _CLOCK + _HALF + _ZONE, "=|$3||$2|||$1|$4|$5|$6|$7|$8|$9||"),
-    (r"(\d{9,10}|\d{12,13}|\d{15,16})", "=|||||||||||||$1|"),
-)
+# Fields of the record that every form is brought into; the numbers come first.
+_NUMBERS = ("year", "month", "day", "first", "second_", "hour", "minute", "second")
+_FIELDS = (*_NUMBERS, "month_name", "fraction", "half", "zone", "count")
+# Each form and the record made of its groups.
+_ISO = (r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T\s]\s*" + _CLOCK + _ZONE, "=|$1|$2|$3|||$4|$5|$6||$7||$8||")
+_COMPACT = (r"(\d{4})(\d{2})(\d{2})[T\s]?(\d{2})(\d{2})(\d{2})(?:[.,]?(\d{3}))?" + _ZONE, "=|$1|$2|$3|||$4|$5|$6||$7||$8||")
+_COUNT = (r"(\d{9,10}|\d{12,13}|\d{15,16})", "=|||||||||||||$1|")
+_NUMERIC = (r"(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})(?:[T,]|\s)\s*" + _CLOCK + _HALF + _ZONE, "=|$3|||$1|$2|$4|$5|$6||$7|$8|$9||")
+_DAY_NAME = (_WEEKDAY + r"(\d{1,2})[\s\-]([A-Za-z]{3,9})\.?[\s\-](\d{4}),?\s+" + _CLOCK + _HALF + _ZONE, "=|$3||$1|||$4|$5|$6|$2|$7|$8|$9||")
+_NAME_DAY = (_WEEKDAY + r"([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4}),?\s+" + _CLOCK + _HALF + _ZONE, "=|$3||$2|||$4|$5|$6|$1|$7|$8|$9||")
+
+
+def _record(t: Column) -> Column:
+    """The record of a trimmed text, beginning with ``=|``; any other text as it is. A look at one or two
+    characters tells which forms are worth trying."""
+
+    def tried(*forms: tuple[str, str]) -> Column:
+        e = t
+        for form, fields in forms:
+            e = F.regexp_replace(e, f"^(?:{form})$", fields)
+        return e
+
+    second, third, fifth = (F.substring(t, k, 1) for k in (2, 3, 5))
+    return (
+        F.when(fifth.isin("-", "/") & third.between("0", "9"), tried(_ISO))
+        .when(fifth.between("0", "9") & third.between("0", "9"), tried(_COMPACT, _COUNT))
+        .when(third.isin("/", ".", "-") | second.isin("/", ".", "-"), tried(_NUMERIC, _DAY_NAME))
+        .otherwise(tried(_DAY_NAME, _NAME_DAY))
+    )
 
 
 @lru_cache(maxsize=1)
@@ -108,37 +126,37 @@ def read_instants(
     the text carries its own zone or is a count), from which a missing zone can be estimated.
     """
     rec, num, wall_ = scratch(df, 3, also=(out, wall))
-    record = F.trim(F.regexp_replace(F.col(text), r"[\s ]+", " "))
-    for form, fields in _FORMS:
-        record = F.regexp_replace(record, f"^(?:{form})$", fields)
-    df = df.withColumn(rec, record)
+    df = df.withColumn(rec, F.regexp_replace(F.col(text), r"^\s+|\s+$", ""))
+    df = df.withColumn(rec, _record(F.col(rec)))
     df = df.withColumn(rec, F.when(F.col(rec).startswith("=|"), F.split(F.col(rec), r"\|")))
-    df = df.withColumn(num, F.transform(rec, lambda x: digits_or_null(x, "int", 9)))
+    df = df.withColumn(num, F.transform(F.slice(rec, 2, len(_NUMBERS)), lambda x: F.nullif(x, F.lit("")).cast("int")))
     at = lambda name: 1 + _FIELDS.index(name)
     told_month = told_day = F.lit(None).cast("int")
     if day is not None:
         told_month = digits_or_null(F.substring(F.col(day), 5, 2))
         told_day = digits_or_null(F.substring(F.col(day), 7, 2))
 
+    no = _NUMBERS.index
+
     def wall_us(n: Column) -> Column:
         """The wall clock time of the record's numbers, in microseconds, or null if there is no such time."""
-        a, b = n[at("first")], n[at("second_")]
+        a, b = n[no("first")], n[no("second_")]
         # Exchangeable day and month: month first if that is the day told, or if the second cannot be a month.
         month_first = F.coalesce((told_month == a) & (told_day == b), F.lit(False)) | (b > 12)
         name = F.lower(F.substring(F.col(rec)[at("month_name")], 1, 3))
         month_name = _lookup({m: k + 1 for k, m in enumerate(MONTHS)}, name)
         date = F.struct(
-            n[at("year")].alias("y"),
-            F.coalesce(n[at("month")], F.when(month_first, a).otherwise(b), month_name).alias("m"),
-            F.coalesce(n[at("day")], F.when(month_first, b).otherwise(a)).alias("d"),
+            n[no("year")].alias("y"),
+            F.coalesce(n[no("month")], F.when(month_first, a).otherwise(b), month_name).alias("m"),
+            F.coalesce(n[no("day")], F.when(month_first, b).otherwise(a)).alias("d"),
         )
         days = let(date, lambda x: civil_days(x["y"], x["m"], x["d"]))
         half = F.upper(F.col(rec)[at("half")])
-        hour = F.when(half == "", n[at("hour")]).otherwise(n[at("hour")] % 12 + F.when(half == "P", 12).otherwise(0))
-        second = F.coalesce(n[at("second")], F.lit(0))
-        good = (n[at("hour")] < 24) & (n[at("minute")] < 60) & (second < 60) & ((half == "") | n[at("hour")].between(1, 12))
+        hour = F.when(half == "", n[no("hour")]).otherwise(n[no("hour")] % 12 + F.when(half == "P", 12).otherwise(0))
+        second = F.coalesce(n[no("second")], F.lit(0))
+        good = (n[no("hour")] < 24) & (n[no("minute")] < 60) & (second < 60) & ((half == "") | n[no("hour")].between(1, 12))
         fraction = F.rpad(F.substring(F.col(rec)[at("fraction")], 1, 6), 6, "0").cast("long")
-        return F.when(good, ((days.cast("long") * 24 + hour) * 60 + n[at("minute")]) * 60_000_000 + second * 1_000_000 + fraction)
+        return F.when(good, ((days.cast("long") * 24 + hour) * 60 + n[no("minute")]) * 60_000_000 + second * 1_000_000 + fraction)
 
     df = df.withColumn(wall_, let(F.col(num), wall_us))
 
