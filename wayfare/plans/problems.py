@@ -78,3 +78,12 @@ def p7_grid(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p2_mobility, p3_found, p3_zones, p5_found, p5_fences, p6_found, p7_found, p7_grid)
 }
+
+ORACLES: dict[str, str] = {
+    "p7_found": """
+WITH r AS (SELECT user_id, epoch_us(strptime(trim(timestamp), '%Y%m%d%H%M%S%g')) AS t FROM accelerometerevent
+           WHERE user_id IS NOT NULL AND length(trim(timestamp)) = 17 AND x IS NOT NULL AND NOT isnan(x)),
+g AS (SELECT user_id, t, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS p FROM r)
+SELECT user_id, unnest(range(p // 60000000 + 1, t // 60000000)) AS epoch_minute FROM g
+WHERE t - p <= 1800000000 AND t // 60000000 > p // 60000000 + 1""",
+}
