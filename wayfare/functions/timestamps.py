@@ -7,13 +7,12 @@ reading stays inside the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.functions.columns import scratch
+from wayfare.functions.columns import let, scratch
 
 # Zone abbreviations and their offsets from UTC in minutes.
 ABBREVIATIONS = {
@@ -71,12 +70,6 @@ def known_zone(zone: Column) -> Column:
     return zone.isin(*_zone_names())
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, evaluated once. A lambda body is evaluated node by node instead of
-    being pasted into the stage's one generated method, which would outgrow the JIT compiler."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _lookup(table: dict[str, int], key: Column) -> Column:
     """The value of ``key`` in a small fixed table, or null."""
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.functions.columns import let
 from wayfare.functions.geo import norm3
 from wayfare.operators.trajectory import along
 
@@ -13,17 +14,16 @@ def haar(values: Column, size: int) -> Column:
     """Orthonormal Haar transform of an array of ``size`` (a power of two): approximation, then details from coarse to fine."""
     if size & (size - 1) or size < 1:
         raise ValueError("size must be a power of two")
-    half = 2**0.5
-    detail: Column | None = None
-    n = size
-    while n > 1:
-        n //= 2
-        index = F.sequence(F.lit(0), F.lit(n - 1))
-        pick = lambda sign, v=values: F.transform(index, lambda i: (F.get(v, i * 2) + sign * F.get(v, i * 2 + 1)) / F.lit(half))
-        low, high = pick(1), pick(-1)
-        detail = high if detail is None else F.concat(high, detail)
-        values = low
-    return values if detail is None else F.concat(values, detail)
+
+    def level(v: Column, n: int) -> Column:
+        if n == 1:
+            return v
+        index = F.sequence(F.lit(0), F.lit(n // 2 - 1))
+        pick = lambda sign: F.transform(index, lambda i: (F.get(v, i * 2) + sign * F.get(v, i * 2 + 1)) / F.lit(2**0.5))
+        return F.concat(let(pick(1), lambda x: level(x, n // 2)), pick(-1))
+
+    # Each level is bound before the next reads it; written out in one another, levels would be computed anew per element.
+    return let(values, lambda v: level(v, size))
 
 
 def sliding_norms(df: DataFrame, width: int) -> DataFrame:
