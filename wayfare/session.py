@@ -1,4 +1,4 @@
-"""Session helpers: where intermediate tables may live, and size checks before a broadcast."""
+"""Session helpers: where intermediate tables may live."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side is broadcast only if its serialized plan statistics stay below this.
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -18,7 +14,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
-    shared = context.getConf().get("spark.checkpoint.dir", None)
+    shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -30,14 +26,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of the optimised plan (no job is run)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimate is under ``limit``; else Catalyst picks a
-    shuffled join, which AQE may still split on skew."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
