@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets of the literal rank table: a map literal is searched linearly, so each holds a dozen entries.
-BUCKETS = 4096
+from wayfare.functions.columns import let
+
+#: Buckets of the literal rank table: a map literal is searched linearly, so each holds an entry or two.
+BUCKETS = 1 << 16
 #: Bytes up to which a word is folded in Spark; its work grows as the square. Longer words are encoded in Arrow.
-FOLD_BYTES = 48
+FOLD_BYTES = 16
 _SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f]"
 _NOT_SPACE = _SPACE.replace("[", "[^", 1)
 #: The tokenizer's word pattern in Java's dialect.
@@ -97,19 +99,23 @@ def fold_word(word: Column, table: Column) -> Column:
     pieces = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substr(text, i * 2 + 1, F.lit(2)))
 
     def step(state: Column, _: Column) -> Column:
-        # [pieces, go on]: ranks of adjacent pairs, the first lowest of which is merged
-        def merge(pairs: Column) -> Column:
-            at = F.array_position(pairs, F.array_min(pairs)).cast("int")
-            merged = F.concat(
-                F.slice(state, 1, at - 1), F.array(F.concat(F.get(state, at - 1), F.get(state, at))), F.slice(state, at + 2, F.size(state))
+        # Merge the first of the pairs of the lowest rank; when no pair has a rank, the word is done.
+        now = state["pieces"]
+
+        def merge(ranked: Column) -> Column:
+            lowest = F.array_min(ranked)
+            at = F.array_position(ranked, lowest).cast("int")
+            merged = F.concat(F.slice(now, 1, at - 1), F.array(F.concat(F.get(now, at - 1), F.get(now, at))), F.slice(now, at + 2, F.size(now)))
+            return F.when(lowest.isNull(), F.struct(now.alias("pieces"), F.lit(True).alias("done"))).otherwise(
+                F.struct(merged.alias("pieces"), F.lit(False).alias("done"))
             )
-            return F.when(F.array_min(pairs).isNull(), state).otherwise(merged)
 
-        pairs = F.transform(F.slice(state, 2, F.size(state)), lambda x, i: rank(F.concat(F.get(state, i), x)))
-        return F.transform(F.array(pairs), merge)[0]
+        pairs = F.transform(F.slice(now, 2, F.size(now)), lambda x, i: rank(F.concat(F.get(now, i), x)))
+        return F.when(state["done"], state).otherwise(let(pairs, merge))
 
-    folded = F.aggregate(F.sequence(F.lit(1), size), pieces, step)
-    return F.when(rank(text).isNotNull(), F.array(rank(text))).otherwise(F.transform(folded, rank))
+    start = F.struct(pieces.alias("pieces"), F.lit(False).alias("done"))
+    folded = F.aggregate(F.sequence(F.lit(1), size), start, step)["pieces"]
+    return let(rank(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, rank)))
 
 
 def encode_words(df: DataFrame, text: str, path: str | None = None) -> DataFrame:

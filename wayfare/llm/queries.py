@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.bpe import encode_texts, encode_words
+from wayfare.llm.bpe import encode_texts
 from wayfare.llm.leakage import leaked_items
 from wayfare.llm.nearest import nearest_by_time
 from wayfare.llm.pieces import split_documents
@@ -49,10 +49,6 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-def p8_words(spark: SparkSession, folder: str) -> DataFrame:
-    return encode_words(table(spark, folder, "documents"), "text")
-
-
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     documents, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return leaked_items(documents, items, "doc_id", "text", "item_id", "text", layout="notebook_format")
@@ -66,7 +62,7 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_documents(table(spark, folder, "documents"), "doc_id", "text", layout="notebook_format")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p4_found, p4_runs, p8_ids, p8_words, p9_found, p9_leaks, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p4_found, p4_runs, p8_ids, p9_found, p9_leaks, p10_pieces)}
 
 _RUNS = """
 WITH k AS (
