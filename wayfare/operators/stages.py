@@ -18,19 +18,23 @@ def transition_points(trace: DataFrame, changes: DataFrame, default: str = "car"
     splits the hop at the change's share of its time; of two or more, each split carries the mode before it and the
     mode of the last is not seen within the hop. All comparisons are strict; runs of one mode are then compressed.
     """
-    m = F.struct(F.col("t").alias("t"), F.col("mode").alias("mode"))
-    ordered = changes.groupBy("track").agg(F.sort_array(F.collect_list(m)).alias("c"))
     w = along()
-    nx = trace.withColumns({f"{c}2": F.lead(c).over(w) for c in ("t", "lat", "lon")}).where("t2 is not null")
-    x = nx.join(ordered, "track", "left").withColumn("c", F.coalesce("c", F.array().cast("array<struct<t:bigint,mode:string>>")))
-    x = x.withColumns(
-        {
-            "inside": F.filter("c", lambda e: (e["t"] > F.col("t")) & (e["t"] < F.col("t2"))),
-            "before": F.filter("c", lambda e: e["t"] < F.col("t")),
-        }
-    )
-    before = F.try_element_at("before", F.lit(-1))["mode"]
-    first = F.get(F.col("c"), 0)["mode"]
+    nx = trace.withColumns({f"{c}2": F.lead(c).over(w) for c in ("t", "lat", "lon")})
+    hop = F.struct("id", "t", "lat", "lon", "t2", "lat2", "lon2")
+    change = F.struct("t", "mode")
+    points = nx.select("track", "t", F.lit(0).alias("side"), "id", hop.alias("hop"), F.lit(None).cast("struct<t:bigint,mode:string>").alias("change"))
+    known = changes.where("track is not null and t is not null").select("track", "t", F.lit(1).alias("side"), F.lit(None).cast("long").alias("id"), F.lit(None).alias("hop"), change.alias("change"))
+    # One sort of points and changes together, each change beside the hop it falls in: no list of a whole track's changes per hop.
+    o = Window.partitionBy("track").orderBy("t", "side", "id", "change.mode")
+    back, whole = o.rowsBetween(Window.unboundedPreceding, 0), o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = points.unionByName(known).withColumns({"at": F.sum(1 - F.col("side")).over(back), "last": F.last("change", ignorenulls=True).over(back), "c0": F.first("change", ignorenulls=True).over(whole)})
+    # A change at the time of a point is in no hop, as one before the first point is in none.
+    x = x.withColumn("from", F.last("hop", ignorenulls=True).over(back)["t"])
+    inner = F.when((F.col("side") == 1) & (F.col("from") < F.col("t")), F.col("change"))
+    own = F.when(F.col("side") == 0, F.struct("hop", "last", "c0"))
+    x = x.groupBy("track", "at").agg(F.max(own).alias("own"), F.sort_array(F.collect_list(inner)).alias("inside"))
+    x = x.select("track", "own.hop.*", "own.last", "own.c0", "inside").where("t2 is not null")
+    before, first = F.col("last")["mode"], F.col("c0")["mode"]
     n = F.size("inside")
 
     def at(e: Column) -> tuple[Column, Column]:
@@ -48,7 +52,7 @@ def transition_points(trace: DataFrame, changes: DataFrame, default: str = "car"
         lambda e, i: point(e["t"], *at(e), F.when(i + 2 < n, F.get(F.col("inside"), i + 1)["mode"]).otherwise(F.get(F.col("inside"), i)["mode"]), i + 1),
     )
     points = (
-        F.when(F.size("c") == 0, F.array(here(F.lit(default))))
+        F.when(F.col("c0").isNull(), F.array(here(F.lit(default))))
         .when(n == 0, F.array(here(F.coalesce(before, first))))
         .when(n == 1, F.array(here(F.coalesce(before, one["mode"])), point(one["t"], *at(one), one["mode"], F.lit(1))))
         .otherwise(F.concat(F.array(here(one["mode"])), many))

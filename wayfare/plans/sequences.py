@@ -77,15 +77,9 @@ def asof_mode(spark: SparkSession, folder: str) -> DataFrame:
     return x.where("side = 0").select("id", F.col("last").alias("mode"))
 
 
-def _trace(spark: SparkSession, folder: str) -> DataFrame:
-    """Every fifth point of a track: the trace that modes, sampled more often, are projected on."""
-    d = day_tracks(spark, folder).withColumn("rn", F.row_number().over(trajectory.along()))
-    return d.where("rn % 5 = 1").drop("rn")
-
-
 def _points(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = modes.majority_vote(mode_sequence(spark, folder), 2, 1)
-    return stages.transition_points(_trace(spark, folder), modes.compress(cleaned).select("track", "t", "mode"))
+    return stages.transition_points(day_tracks(spark, folder), modes.compress(cleaned).select("track", "t", "mode"))
 
 
 @query()
@@ -95,7 +89,7 @@ def transition_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stages(spark: SparkSession, folder: str, keep_last: bool) -> DataFrame:
-    ends = _trace(spark, folder).groupBy("track").agg(F.max("t").alias("end_t"))
+    ends = day_tracks(spark, folder).groupBy("track").agg(F.max("t").alias("end_t"))
     s = stages.stages(_points(spark, folder), ends, keep_last)
     s = stages.stage_confidence(s, mode_sequence(spark, folder))
     return s.select(F.col("track").cast("string").alias("track"), "stage", "mode", "start_t", "end_t", R("confidence").alias("confidence"))
