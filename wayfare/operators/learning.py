@@ -46,7 +46,7 @@ def logistic(iterations: int = 10, penalty: float = 0.01) -> LogisticRegression:
     return LogisticRegression(maxIter=iterations, regParam=penalty)
 
 
-def perceptron_predictions(df: DataFrame, key: str, values: str, label: str, width: int = 64, iterations: int = 60) -> DataFrame:
+def perceptron_predictions(df: DataFrame, key: str, values: str, label: str, width: int = 64, iterations: int = ITERATIONS) -> DataFrame:
     """(key, label, prediction) of the held-out rows."""
     train, test = split(haar_vectors(df, key, values, label, width), key)
     classes = int(train.agg(F.max("label")).first()[0] or 0) + 1
