@@ -1,5 +1,7 @@
 import random
 
+import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -79,3 +81,24 @@ def test_stages_reach_the_end_of_the_track(spark, name):
         want |= set(spans if name == "stages_all" or len(p) == 1 else spans[:-1])
     got = entry.queries()[name](spark, FOLDER).collect()
     assert {(r["mode"], r["start_t"], r["end_t"]) for r in got} == want and len(got) == len(want)
+
+
+def test_haar_of_all_values_against_its_matrix_and_sql(spark):
+    names = [f"h{k}" for k in range(64)]
+    df = entry.queries()["haar_features_full"](spark, FOLDER)
+    assert df.columns == ["id", *names]
+    got = {r["id"]: list(r)[1:] for r in df.collect()}
+    basis = [np.full(64, 1 / 8)]
+    for n in (64, 32, 16, 8, 4, 2):
+        for a in range(0, 64, n):
+            row = np.zeros(64)
+            row[a : a + n // 2], row[a + n // 2 : a + n] = n**-0.5, -(n**-0.5)
+            basis.append(row)
+    e = pq.read_table(f"{FOLDER}/embeddings.parquet", columns=["vec_id", "embedding"]).to_pydict()
+    assert sorted(got) == sorted(e["vec_id"])
+    for key, v in zip(e["vec_id"], e["embedding"]):
+        assert got[key] == pytest.approx(list(np.array(basis) @ np.array(v, dtype=float)), abs=2e-6)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{FOLDER}/embeddings.parquet'")
+    want = {r[0]: list(r[1:]) for r in con.execute(entry.oracle_sql()["haar_features_full"]).fetchall()}
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)

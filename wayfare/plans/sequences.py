@@ -161,6 +161,28 @@ def haar_features(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("id", *[R(F.col("h")[k]).alias(f"h{k}") for k in range(4)])
 
 
+_WIDTH = 64
+
+
+def _sql_haar(width: int) -> str:
+    """The coefficients of ``width`` values ``v``: from coarse to fine, the first half of each block less the second."""
+    part = lambda a, n: f"list_sum(v[{a + 1}:{a + n}])"
+    h = [f"{part(0, width)} / sqrt({width}.0::double)"]
+    n = width
+    while n > 1:
+        h += [f"({part(a, n // 2)} - {part(a + n // 2, n // 2)}) / sqrt({n}.0::double)" for a in range(0, width, n)]
+        n //= 2
+    return ", ".join(f"round({x}, 6) AS h{k}" for k, x in enumerate(h))
+
+
+@query(f"WITH e AS (SELECT vec_id AS id, CASE WHEN len(embedding) = {_WIDTH} THEN embedding::double[] END AS v FROM embeddings) SELECT id, {_sql_haar(_WIDTH)} FROM e")
+def haar_features_full(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, h0 ... h63): the transform of all values of each embedding; nulls where there are not 64."""
+    v = F.when(F.size("embedding") == _WIDTH, F.transform("embedding", lambda x: x.cast("double")))
+    e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), features.haar(v, _WIDTH).alias("h"))
+    return e.select("id", *[R(F.col("h")[k]).alias(f"h{k}") for k in range(_WIDTH)])
+
+
 @query(f"WITH {SQL_SENSOR}, w AS (SELECT id, avg(sqrt(x * x + y * y + z * z)) OVER v AS m, count(*) OVER v AS n FROM se WINDOW v AS (PARTITION BY track ORDER BY t, id ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) SELECT id, round(m, 6) AS mean FROM w WHERE n = 50")
 def activity_windows(spark: SparkSession, folder: str) -> DataFrame:
     return features.activity_windows(sensor_rows(spark, folder), 50).select("id", R("mean").alias("mean"))
