@@ -105,11 +105,14 @@ def held_rows(df: DataFrame, source: str, at_us: str, row_id: str, values: list[
     rows = rows.withColumn("length", F.count(F.lit(1)).over(run)).withColumn("size", F.max("rn").over(Window.partitionBy("source", "chunk")))
     head, tail = F.col("first") == 1, F.col("first") + F.col("length") - 1 == F.col("size")
     wanted = F.lit(True) if skip is None else F.col("v0") != skip
+    # Of a run of the skipped value at a day's edge one row is kept, so that it stands between the days around it.
+    between = ~wanted & (head | tail) & (F.col("rn") == F.col("first"))
     kept = cut(
-        rows.where(wanted & ((F.col("length") >= least) | head | tail))
+        rows.where((wanted & ((F.col("length") >= least) | head | tail)) | between)
         .select("source", "chunk", "id", "rn", "first", "length", head.alias("head"), tail.alias("tail"), value.alias("value"))
     )
-    inside = kept.where(F.col("length") >= least).select("id")
+    given = kept if skip is None else kept.where(F.col("value.v0") != skip)
+    inside = given.where(F.col("length") >= least).select("id")
     # One entry per edge run, in order; runs of equal values that touch across days add up.
     edges = kept.where((F.col("rn") == F.col("first")) & (F.col("head") | F.col("tail")))
     far = Window.partitionBy("source").orderBy("chunk", "first")
@@ -119,7 +122,7 @@ def held_rows(df: DataFrame, source: str, at_us: str, row_id: str, values: list[
     )
     whole = grouped.withColumn("total", F.sum("length").over(Window.partitionBy("source", "group")))
     late = whole.where((F.col("total") >= least) & (F.col("length") < least)).select("source", "chunk", "first")
-    crossing = kept.where(F.col("length") < least).join(late, ["source", "chunk", "first"], "left_semi").select("id")
+    crossing = given.where(F.col("length") < least).join(late, ["source", "chunk", "first"], "left_semi").select("id")
     return inside.unionByName(crossing).select(F.col("id").alias(row_id))
 
 
