@@ -118,7 +118,7 @@ def read_instants(
     With ``wall`` also a BIGINT column of that name: the zoneless wall clock reading (null where
     the text carries its own zone or is a count), from which a missing zone can be estimated.
     """
-    rec, num, wall_ = scratch(df, 3, also=(out, wall))
+    rec, num, wall_, got, wall_got = scratch(df, 5, also=(out, wall))
     df = df.withColumn(rec, F.regexp_replace(F.col(text), r"^\s+|\s+$", ""))
     df = df.withColumn(rec, _record(F.col(rec)))
     df = df.withColumn(rec, F.when(F.col(rec).startswith("=|"), F.split(F.col(rec), r"\|")))
@@ -169,7 +169,11 @@ def read_instants(
         return F.when(F.length(c) <= 10, n * 1_000_000).when(F.length(c) <= 13, n * 1000).otherwise(n)
 
     count, written = F.col(rec)[at("count")], F.col(rec)[at("zone")]
-    df = df.withColumn(out, F.when(count != "", let(count, counted)).otherwise(let(written, with_zone)))
+    instant = F.when(count != "", let(count, counted)).otherwise(let(written, with_zone))
+    read = F.struct(instant.alias(got), F.when((written == "") & (count == ""), F.col(wall_)).alias(wall_got))
+    # The one-row generator is a barrier: filters on the instant, pushed below it, would evaluate the whole reading again.
+    df = df.select("*", F.inline(F.array(read))).drop(rec, num, wall_)
+    df = df.withColumn(out, F.col(got))
     if wall is not None:
-        df = df.withColumn(wall, F.when((written == "") & (count == ""), F.col(wall_)))
-    return df.drop(rec, num, wall_)
+        df = df.withColumn(wall, F.col(wall_got))
+    return df.drop(got, wall_got)
