@@ -1,8 +1,8 @@
 """Implausible readings per source: out of range, far from the source's usual, or held.
 
-What is usual for a source comes from a mergeable sketch: the counts of its distinct values,
-combined map-side and merged across partitions. Sensors quantise, so the sketch is far smaller
-than the rows and still exact; medians and other quantiles are read off it by ranks.
+What is usual for a source comes from a mergeable sketch: counts, least and greatest values of coarse
+buckets, combined map-side and merged across partitions, of a size that the range of values bounds.
+It brackets a quantile; one more pass counts what lies inside the bracket and gives the exact value.
 """
 
 from __future__ import annotations
@@ -15,57 +15,99 @@ from wayfare.functions.columns import scratch
 from wayfare.operators.chunked import chunk_of
 from wayfare.session import cut
 
+#: Rows that one key's bracket may hold before it is split further.
+BRACKET_ROWS = 1_000_000
 #: Rows of per-source statistics up to which they are broadcast (some 100 bytes each); more are joined by shuffle.
 BROADCAST_SOURCES = 200_000
 
 
-def _rank_value(total: Column, up_to: Column, weight: Column, value: Column, q: float, upper: bool) -> Column:
-    """``value`` where the rank ``q * (total - 1)``, rounded down or up, falls into this row's ranks."""
-    at = (F.ceil if upper else F.floor)(F.lit(q) * (total - 1))
-    return F.when((up_to > at) & (up_to - weight <= at), value)
+def coarse_bucket(value: Column) -> Column:
+    """A whole number that never falls as ``value`` rises: about 4 % wide far from 0, 0.01 near it."""
+    return F.signum(value) * F.floor(24.0 * F.log1p(F.abs(value) * 4.0))
 
 
-def quantile_from_sketch(sketch: DataFrame, keys: list[str], value: str, weight: str, q: float, out: str) -> DataFrame:
-    """Add ``out`` to every row of a value-count sketch: the exact ``q`` quantile of its keys, with
-    linear interpolation between the two neighbouring values. One sort per key set, no join."""
-    total, up_to = scratch(sketch, 2)
-    whole = Window.partitionBy(*keys)
-    along = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sketch.withColumns({up_to: F.sum(weight).over(along), total: F.sum(weight).over(whole)})
-    args = (F.col(total), F.col(up_to), F.col(weight), F.col(value), q)
-    low, high = (F.max(_rank_value(*args, upper)).over(whole) for upper in (False, True))
-    part = F.lit(q) * (F.col(total) - 1) - F.floor(F.lit(q) * (F.col(total) - 1))
-    return ranked.withColumn(out, low + (high - low) * part).drop(total, up_to)
+def _at_rank(rank: str, up_to: Column, n: Column, value: Column) -> Column:
+    """``value`` where the 0-based rank in column ``rank`` falls into this row's ranks."""
+    return F.when((up_to > F.col(rank)) & (up_to - n <= F.col(rank)), value)
+
 
+def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, bucket, n, lo, hi): the mergeable sketch of a source's values: per coarse bucket the number of values, the
+    least and the greatest. Its size is bounded by the range of values (some 300 buckets up to 160), not by their number;
+    it is combined map-side and merged across partitions."""
+    return df.groupBy(*keys, coarse_bucket(F.col(value)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
 
-def value_sketch(df: DataFrame, source: str, values: list[str], bound: float) -> DataFrame:
-    """(source, axis, value, n): counts of the distinct values of each column within ``bound``."""
+
+def bracket(sketch: DataFrame, keys: list[str], low: str, high: str, q: float) -> DataFrame:
+    """(keys, total, ra, rb, from_v, to_v, inside_n): the ranks on either side of ``q * (total - 1)``, two values that the
+    values of these ranks cannot lie outside of, and how many values lie between them at most. A sketch row stands for ``n`` values between ``low`` and ``high``."""
+    whole = Window.partitionBy(*keys)
+    up_to = lambda c: F.sum("n").over(whole.orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
+    x = sketch.withColumns({"total": F.sum("n").over(whole), "up_low": up_to(low), "up_high": up_to(high)})
+    at = F.lit(q) * (F.col("total") - 1)
+    x = x.withColumns({"ra": F.floor(at), "rb": F.ceil(at)})
+    # The value of rank r is at least the r-th least lower end, and at most the r-th least upper end.
+    g = x.groupBy(*keys).agg(
+        F.max("total").alias("total"), F.max("ra").alias("ra"), F.max("rb").alias("rb"),
+        F.min(F.when(F.col("up_low") > F.col("ra"), F.col(low))).alias("from_v"), F.min(F.when(F.col("up_high") > F.col("rb"), F.col(high))).alias("to_v"),
+    )
+    touched = sketch.join(g, keys).where((F.col(high) >= F.col("from_v")) & (F.col(low) <= F.col("to_v")))
+    return touched.groupBy(*keys, "total", "ra", "rb", "from_v", "to_v").agg(F.sum("n").alias("inside_n"))
+
+
+def quantile_in(df: DataFrame, keys: list[str], value: str, brackets: DataFrame, q: float, out: str, most_rows: int = BRACKET_ROWS) -> DataFrame:
+    """(keys, out): the exact quantile with linear interpolation of the values of ``df`` (keys, value), given brackets.
+
+    One pass counts the values below the bracket and each value inside it, combined map-side. Only the values inside,
+    a few per cent, are ranked in one window per key. While a bracket holds more than ``most_rows`` rows, one more pass
+    splits it into a thousand parts and takes the one or two that matter, so no window grows with its source."""
+    inside = F.col(value).between(F.col("from_v"), F.col("to_v"))
+    brackets = cut(brackets)
+    while brackets.where((F.col("inside_n") > most_rows) & (F.col("from_v") < F.col("to_v"))).limit(1).count():
+        part = F.floor((F.col(value) - F.col("from_v")) / F.nullif(F.col("to_v") - F.col("from_v"), F.lit(0.0)) * 1000)
+        x = _beside(df, brackets, keys).where((F.col(value) < F.col("from_v")) | inside)
+        parts = x.groupBy(*keys, "total", "ra", "rb", F.when(inside, F.coalesce(part, F.lit(0))).otherwise(-1).alias("bucket"))
+        parts = parts.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        parts = parts.withColumn("up", F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+        holds = lambda r: (F.col("up") > F.col(r)) & (F.col("up") - F.col("n") <= F.col(r))
+        brackets = parts.where(holds("ra") | holds("rb")).groupBy(*keys, "total", "ra", "rb")
+        brackets = cut(brackets.agg(F.min("lo").alias("from_v"), F.max("hi").alias("to_v"), F.sum("n").alias("inside_n")))
+    x = _beside(df, brackets, keys)
+    below = F.col(value) < F.col("from_v")
+    counted = x.where(below | inside).groupBy(*keys, "ra", "rb", "total", F.when(inside, F.col(value)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    up = F.sum("n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("up", up)
+    ends = ranked.groupBy(*keys, "total", "ra").agg(*[F.max(_at_rank(r, F.col("up"), F.col("n"), F.col("v"))).alias(o) for r, o in (("ra", "va"), ("rb", "vb"))])
+    return ends.select(*keys, (F.col("va") + (F.col("vb") - F.col("va")) * (F.lit(q) * (F.col("total") - 1) - F.col("ra"))).alias(out))
+
+
+def _axes(df: DataFrame, source: str, values: list[str], bound: float) -> DataFrame:
+    """(source, axis, value): the values of each column within ``bound``, one row each."""
     axes = F.array(*[F.struct(F.lit(k).alias("axis"), F.col(c).cast("double").alias("value")) for k, c in enumerate(values)])
-    return (
-        df.where(F.col(source).isNotNull())
-        .select(F.col(source).alias("source"), F.inline(axes))
-        .where(F.abs("value") <= bound)
-        .groupBy("source", "axis", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+    return df.where(F.col(source).isNotNull()).select(F.col(source).alias("source"), F.inline(axes)).where(F.abs("value") <= bound)
+
+
+def median_fences(df: DataFrame, source: str, values: list[str], bound: float, times: float, most_rows: int = BRACKET_ROWS) -> DataFrame:
+    """(source, mid_0, reach_0, mid_1, ...): per column the median and ``times`` the median distance from it, over the
+    source's values within ``bound``. A source without such values in a column has nulls there."""
+    rows, keys = _axes(df, source, values, bound), ["source", "axis"]
+    sketch = cut(histogram(rows, keys, "value"))
+    median = cut(quantile_in(rows, keys, "value", bracket(sketch, keys, "lo", "hi", 0.5), 0.5, "median", most_rows))
+    # Distances of a bucket's values from the median lie between these two.
+    x = sketch.join(median, keys)
+    d = x.withColumns({"dmin": F.greatest(F.lit(0.0), F.col("lo") - F.col("median"), F.col("median") - F.col("hi")), "dmax": F.greatest(F.abs(F.col("lo") - F.col("median")), F.abs(F.col("hi") - F.col("median")))})
+    away = _beside(rows, median, keys).select(*keys, F.abs(F.col("value") - F.col("median")).alias("away"))
+    mad = quantile_in(away, keys, "away", bracket(d, keys, "dmin", "dmax", 0.5), 0.5, "mad", most_rows)
+    axes = median.join(mad, keys)
+    return axes.groupBy("source").agg(
+        *[F.max(F.when(F.col("axis") == k, F.col("median"))).alias(f"mid_{k}") for k in range(len(values))],
+        *[F.max(F.when(F.col("axis") == k, F.col("mad") * times)).alias(f"reach_{k}") for k in range(len(values))],
     )
 
 
-def median_fences(df: DataFrame, source: str, values: list[str], bound: float, times: float) -> DataFrame:
-    """(source, lo_0, hi_0, lo_1, ...): per column the median minus and plus ``times`` the median distance from it,
-    over the source's values within ``bound``. A source without such values in a column has nulls there."""
-    sketch = value_sketch(df, source, values, bound)
-    usual = quantile_from_sketch(sketch, ["source", "axis"], "value", "n", 0.5, "median")
-    spread = quantile_from_sketch(
-        usual.withColumn("distance", F.abs(F.col("value") - F.col("median"))), ["source", "axis"], "distance", "n", 0.5, "mad"
-    )
-    axes = spread.groupBy("source", "axis").agg(F.max("median").alias("median"), F.max("mad").alias("mad"))
-    return axes.groupBy("source").agg(
-        *[
-            F.max(F.when(F.col("axis") == k, F.col(c))).alias(f"{c}_{k}")
-            for k in range(len(values))
-            for c in ("median", "mad")
-        ]
-    ).select("source", *[(F.col(f"median_{k}")).alias(f"mid_{k}") for k in range(len(values))], *[(F.col(f"mad_{k}") * times).alias(f"reach_{k}") for k in range(len(values))])
+def _beside(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows with a written table of statistics, one row a key; broadcast only after counting it."""
+    return df.join(F.broadcast(stats) if stats.count() <= BROADCAST_SOURCES else stats, keys)
 
 
 def _with_statistics(df: DataFrame, source: str, stats: DataFrame) -> DataFrame:
@@ -156,8 +198,9 @@ def implausible_speeds(
     speeds above 0 and at most ``most``, or one of ``least_held`` successive equal non-zero speeds. NaN counts as null."""
     clean = df.withColumn(speed, F.when(~F.isnan(F.col(speed).cast("double")), F.col(speed)))
     moving = clean.where((F.col(speed) > 0) & (F.col(speed) <= most))
-    sketch = value_sketch(moving, source, [speed], most)
-    top = quantile_from_sketch(sketch, ["source"], "value", "n", q, "top").groupBy("source").agg((F.max("top") * times).alias("limit"))
+    rows, keys = _axes(moving, source, [speed], most), ["source"]
+    top = quantile_in(rows, keys, "value", bracket(histogram(rows, keys, "value"), keys, "lo", "hi", q), q, "top")
+    top = top.select("source", (F.col("top") * times).alias("limit"))
     judged = _with_statistics(clean, source, top)
     x = F.col(speed).cast("double")
     flag = (x < 0) | (x > most) | F.coalesce(x > F.col("limit"), F.lit(False))

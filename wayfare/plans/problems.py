@@ -13,6 +13,7 @@ from wayfare.operators.mobility import stops_and_trips, usable_pings
 from wayfare.operators.spikes import hourly_fences, implausible_speeds, implausible_vectors
 from wayfare.operators.zones import estimate_zones, normalise_instants
 from wayfare.functions.timestamps import read_instants
+from wayfare.plans.sqltext import SQL_LOCATIONS, SQL_SHAKES, SQL_TRIPS
 from wayfare.sources.tables import accelerations, locations, table, trips, with_zone
 
 HOUR_US = 3_600_000_000
@@ -79,7 +80,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p2_mobility, p3_found, p3_zones, p5_found, p5_fences, p6_found, p7_found, p7_grid)
 }
 
+_HELD = """SELECT {id} FROM (SELECT *, count(*) OVER (PARTITION BY {u}, run) AS len FROM (SELECT *, sum(fresh) OVER (PARTITION BY {u} ORDER BY instant_us, {id} ROWS UNBOUNDED PRECEDING) AS run FROM
+  (SELECT *, ({same}) IS NOT TRUE AS fresh FROM (SELECT *, {lags} FROM {source} WINDOW w AS (PARTITION BY {u} ORDER BY instant_us, {id})))))
+  WHERE len >= 8{more}"""
+
+
+def _sql_held(source: str, values: str, more: str = "") -> str:
+    lags = ", ".join(f"lag({v}) OVER w AS l_{v}" for v in values.split())
+    return _HELD.format(id="event_id", u="user_id", source=source, lags=lags, same=" AND ".join(f"{v} = l_{v}" for v in values.split()), more=more)
+
+
+_AXES = [f"SELECT event_id, user_id, {k} AS axis, {v}::double AS v FROM ac" for k, v in enumerate("xyz")]
+
 ORACLES: dict[str, str] = {
+    "p3_found": f"WITH {SQL_LOCATIONS}, {SQL_TRIPS} SELECT 'locationeventpertime' AS source_table, event_id AS row_id, instant_us AS epoch_us FROM loc WHERE instant_us IS NOT NULL UNION ALL SELECT 'trip', trip_id, start_us FROM mv WHERE start_us IS NOT NULL",
+    "p5_found": f"""WITH {SQL_SHAKES}, {SQL_LOCATIONS},
+ac AS (SELECT event_id, user_id, instant_us, CASE WHEN NOT isnan(x) THEN x END AS x, CASE WHEN NOT isnan(y) THEN y END AS y, CASE WHEN NOT isnan(z) THEN z END AS z FROM acc),
+v AS ({" UNION ALL ".join(_AXES)}), med AS (SELECT user_id, axis, median(v) AS m FROM v WHERE abs(v) <= 160 GROUP BY 1, 2),
+mad AS (SELECT v.user_id, v.axis, any_value(m) AS m, median(abs(v - m)) AS d FROM v JOIN med ON med.user_id = v.user_id AND med.axis = v.axis WHERE abs(v) <= 160 GROUP BY 1, 2),
+a_full AS (SELECT * FROM ac WHERE user_id IS NOT NULL AND instant_us IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+sp AS (SELECT event_id, user_id, instant_us, CASE WHEN NOT isnan(speed) THEN speed END AS speed FROM loc),
+lim AS (SELECT user_id, quantile_cont(speed::double, 0.9) * 3 AS most FROM sp WHERE speed > 0 AND speed <= 100 GROUP BY 1),
+s_full AS (SELECT * FROM sp WHERE user_id IS NOT NULL AND instant_us IS NOT NULL AND speed IS NOT NULL)
+SELECT DISTINCT 'accelerometerevent' AS source_table, event_id FROM (
+  SELECT event_id FROM v WHERE abs(v) > 160 UNION ALL SELECT v.event_id FROM v JOIN mad ON mad.user_id = v.user_id AND mad.axis = v.axis WHERE abs(v - m) > 12 * d UNION ALL {_sql_held("a_full", "x y z")})
+UNION ALL SELECT DISTINCT 'locationeventpertime', event_id FROM (
+  SELECT event_id FROM sp WHERE speed < 0 OR speed > 100 UNION ALL SELECT event_id FROM sp JOIN lim USING (user_id) WHERE speed::double > most UNION ALL {_sql_held("s_full", "speed", " AND speed <> 0")})""",
+    "p6_found": f"""WITH {SQL_TRIPS}, i AS (SELECT citizen_id, start_us AS a, epoch_us(stop_timestamp) AS b FROM mv WHERE citizen_id IS NOT NULL AND epoch_us(stop_timestamp) > start_us),
+r AS (SELECT *, max(b) OVER (PARTITION BY citizen_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM i),
+g AS (SELECT *, sum(CASE WHEN a <= so_far THEN 0 ELSE 1 END) OVER (PARTITION BY citizen_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS no FROM r),
+p AS (SELECT citizen_id, no, min(a) AS from_us, max(b) AS to_us FROM g GROUP BY 1, 2), q AS (SELECT citizen_id, to_us AS from_us, lead(from_us) OVER (PARTITION BY citizen_id ORDER BY from_us) AS to_us FROM p)
+SELECT citizen_id, 'period' AS kind, from_us, to_us FROM p UNION ALL SELECT citizen_id, 'gap', from_us, to_us FROM q WHERE to_us - from_us <= 86400000000""",
     "p7_found": """
 WITH r AS (SELECT user_id, epoch_us(strptime(trim(timestamp), '%Y%m%d%H%M%S%g')) AS t FROM accelerometerevent
            WHERE user_id IS NOT NULL AND length(trim(timestamp)) = 17 AND x IS NOT NULL AND NOT isnan(x)),
