@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfare.functions.geo import KM_PER_DEGREE, haversine_km
-from wayfare.operators.trajectory import along, mean_pair_speed
+from wayfare.operators.trajectory import inside_spans, mean_pair_speed
 from wayfare.session import cut
 
 
@@ -105,58 +104,135 @@ def stop_points(df: DataFrame, ceps: float, eps: float, least: int, expand_all:
 def trips_between_stops(df: DataFrame, stops: DataFrame, least_kmh: float = 4.0) -> DataFrame:
     """(track, trip, start_id, end_id, n, kmh): from the last point of a stop to the first of the next, with the points
     between, if their mean pair speed is above ``least_kmh``; a track without stops is one trip of its whole."""
+    points = cut(trip_points(df, cut(stops)))
+    speed = mean_pair_speed(points, ["track", "trip"])
+    q = F.struct("t", "id")
+    shape = points.groupBy("track", "trip").agg(F.min(q).alias("a"), F.max(q).alias("b"), F.count(F.lit(1)).alias("n"))
+    return shape.join(speed, ["track", "trip"]).where(F.col("kmh") > least_kmh).select("track", "trip", F.col("a.id").alias("start_id"), F.col("b.id").alias("end_id"), "n", "kmh")
+
+
+def trip_points(df: DataFrame, stops: DataFrame) -> DataFrame:
+    """(track, trip, id, t, lat, lon): the points of every leg between two successive stops, its ends included, and of
+    tracks without a stop. ``stops`` is read several times; give a written table."""
     p = F.struct("pos", "t", "id", "lat", "lon")
     ends = stops.groupBy("track", "stop").agg(F.min(p).alias("a"), F.max(p).alias("b"))
     w = Window.partitionBy("track").orderBy("stop")
     legs = ends.select("track", F.col("stop").alias("trip"), F.col("b").alias("begin"), F.lead("a").over(w).alias("end")).where("end is not null")
-    inner = df.join(legs, "track").where((F.col("t") > F.col("begin.t")) & (F.col("t") < F.col("end.t"))).select("track", "trip", "id", "t", "lat", "lon")
+    spans = legs.select("track", "trip", F.col("begin.t").alias("a"), F.col("end.t").alias("b"))
+    inner = inside_spans(df.select("track", "id", "t", "lat", "lon"), spans, ["track"]).select("track", "trip", "id", "t", "lat", "lon")
     edge = legs.select("track", "trip", F.inline(F.array(F.struct("begin.id", "begin.t", "begin.lat", "begin.lon"), F.struct("end.id", "end.t", "end.lat", "end.lon"))))
     whole = df.join(stops.select("track").distinct(), "track", "left_anti").select("track", F.lit(0).cast("long").alias("trip"), "id", "t", "lat", "lon")
-    points = inner.unionByName(edge).unionByName(whole)
-    speed = mean_pair_speed(points, ["track", "trip"])
-    q = F.struct("t", "id")
-    shape = points.groupBy("track", "trip").agg(F.min(q).alias("a"), F.max(q).alias("b"), F.count(F.lit(1)).alias("n"))
-    return shape.join(speed, ["track", "trip"]).where(F.col("kmh") > least_kmh).select("track", "trip", F.col("a.id").alias("start_id"), F.col("b.id").alias("end_id"), "n", "kmh")
+    return inner.unionByName(edge).unionByName(whole)
+
+
+def _any_near(t, lat, lon, a: np.ndarray, b: np.ndarray, eps_km: float, within_us: int | None) -> bool:
+    """Whether any point of ``a`` is a neighbour of any of ``b``; looked at in tiles, so that dense cells end early."""
+    for i in range(0, len(a), 64):
+        for j in range(0, len(b), 1024):
+            if _near(t, lat, lon, a[i : i + 64], b[j : j + 1024], eps_km, within_us).any():
+                return True
+    return False
 
 
-def density_clusters(df: DataFrame, eps_km: float, least: int, within_s: int | None = None, rounds: int = 60) -> DataFrame:
+def _near(t, lat, lon, a: np.ndarray, b: np.ndarray, eps_km: float, within_us: int | None) -> np.ndarray:
+    """The matrix of neighbours between points ``a`` and ``b``; coordinates in radians."""
+    h = np.sin((lat[b] - lat[a][:, None]) / 2) ** 2 + np.sin((lon[b] - lon[a][:, None]) / 2) ** 2 * np.cos(lat[a])[:, None] * np.cos(lat[b])
+    close = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1.0))) <= eps_km
+    return close if within_us is None else close & (np.abs(t[b] - t[a][:, None]) <= within_us)
+
+
+def dbscan(t: np.ndarray, lat_deg: np.ndarray, lon_deg: np.ndarray, eps_km: float, least: int, within_us: int | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(component of each core point or -1, core flags, border points with the components beside them).
+
+    Points are put into cells so small that all points of one cell are neighbours: a cell of ``least`` points is all
+    core without a look at any pair, and the core points of a cell are one component. Only sparse cells are counted
+    point by point against the cells in reach, and two cells are linked by the first pair found. No pairs are kept.
+    """
+    n, lat, lon = len(t), np.radians(lat_deg), np.radians(lon_deg)
+    side = np.degrees(eps_km / 6371.0) / 2**0.5 * 0.999
+    # The cells of a row are as wide as a cell may be at the row's end nearest the equator.
+    row = np.floor(lat_deg / side).astype(np.int64)
+    wide = lambda r: side / np.maximum(np.cos(np.radians(np.minimum(np.abs(r), np.abs(r + 1)) * side)), 1e-3)
+    col = np.floor(lon_deg / wide(row)).astype(np.int64)
+    age = np.zeros(n, np.int64) if within_us is None else t // max(1, within_us)
+    cells: dict[tuple[int, int, int], list[int]] = {}
+    for k, c in enumerate(zip(row.tolist(), col.tolist(), age.tolist())):
+        cells.setdefault(c, []).append(k)
+    cells = {c: np.array(v) for c, v in cells.items()}
+
+    def around(c: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+        r, k, a = c
+        out = []
+        for r2 in range(r - 2, r + 3):
+            # Columns of another row that the reach of this cell touches.
+            w, w2 = float(wide(np.int64(r))), float(wide(np.int64(r2)))
+            far = np.degrees(eps_km / 6371.0) / max(np.cos(np.radians(min(89.9, (max(abs(r), abs(r2)) + 1) * side))), 1e-3)
+            for k2 in range(int(np.floor((k * w - far) / w2)), int(np.floor(((k + 1) * w + far) / w2)) + 1):
+                out += [x for a2 in ((a,) if within_us is None else (a - 1, a, a + 1)) if (x := (r2, k2, a2)) in cells]
+        return out
+
+    core, beside = np.zeros(n, bool), {c: around(c) for c in cells}
+    for c, mine in cells.items():
+        if len(mine) >= least:
+            core[mine] = True
+            continue
+        theirs = np.concatenate([cells[x] for x in beside[c]])
+        count = sum(_near(t, lat, lon, mine, theirs[j : j + 65536], eps_km, within_us).sum(axis=1) for j in range(0, len(theirs), 65536))
+        core[mine] = count >= least
+    parent = {c: c for c in cells}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    cores = {c: v[core[v]] for c, v in cells.items()}
+    for c, mine in cores.items():
+        for x in beside[c]:
+            if x > c and len(mine) and len(cores[x]) and root(x) != root(c) and _any_near(t, lat, lon, mine, cores[x], eps_km, within_us):
+                parent[root(x)] = root(c)
+    number = {c: k for k, c in enumerate(cells)}
+    label = np.full(n, -1, np.int64)
+    for c, mine in cores.items():
+        label[mine] = number[root(c)]
+    border = []
+    for c, mine in cells.items():
+        loose = mine[~core[mine]]
+        if len(loose):
+            near = {}
+            for x in beside[c]:
+                if len(cores[x]):
+                    hit = np.zeros(len(loose), bool)
+                    for j in range(0, len(cores[x]), 65536):
+                        hit |= _near(t, lat, lon, loose, cores[x][j : j + 65536], eps_km, within_us).any(axis=1)
+                    for k in loose[hit].tolist():
+                        near.setdefault(k, set()).add(number[root(x)])
+            border += [(k, np.array(sorted(v))) for k, v in near.items()]
+    return label, core, border
+
+
+def density_clusters(df: DataFrame, eps_km: float, least: int, within_s: int | None = None) -> DataFrame:
     """(track, id, cluster): DBSCAN per track by distance and, with ``within_s``, time; ``cluster`` is the smallest id
     among the cluster's core points, null for noise. A border point joins the neighbouring cluster of the smallest id.
-
-    Neighbours are found by an equi-join on grid cells as wide as ``eps_km`` (and time cells), so no cell is compared
-    with any but those beside it; labels spread along neighbours with pointer jumping, each round written to the
-    checkpoint folder.
+    Points with a null position or time are noise. One track, a day of one device, is clustered at a time; see ``dbscan``.
     """
-    step = eps_km / KM_PER_DEGREE
-    lat_cell = F.floor(F.col("lat") / step)
-    lon_step = lambda c: F.greatest(F.cos(F.radians((F.floor(c) + 1) * step)), F.lit(1e-3))
-    x = df.select("track", "id", "t", "lat", "lon").withColumn("r", lat_cell)
-    cells = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
-    left = x.withColumn("dr", cells).withColumn("rr", F.col("r") + F.col("dr"))
-    left = left.withColumn("cc0", F.floor(F.col("lon") / (F.lit(step) / lon_step(F.col("rr"))))).withColumn("dc", cells).withColumn("cc", F.col("cc0") + F.col("dc"))
-    right = x.withColumn("cc", F.floor(F.col("lon") / (F.lit(step) / lon_step(F.col("r"))))).select(
-        "track", F.col("r").alias("rr"), "cc", F.col("id").alias("id2"), F.col("t").alias("t2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")
-    )
-    close = haversine_km("lat", "lon", "lat2", "lon2") <= eps_km
-    if within_s is not None:
-        close = close & (F.abs(F.col("t") - F.col("t2")) <= within_s * 1_000_000)
-    edges = cut(left.join(right, ["track", "rr", "cc"]).where(close).select("track", "id", "id2").distinct())
-    core = edges.groupBy("track", "id").count().where(F.col("count") >= least).select("track", "id")
-    e = edges.join(core, ["track", "id"]).join(core.select("track", F.col("id").alias("id2")), ["track", "id2"])
-    e = cut(e.select("track", "id", "id2"))
-    labels = core.withColumn("cluster", F.col("id"))
-    for _ in range(rounds):
-        near = e.join(labels.select("track", F.col("id").alias("id2"), F.col("cluster").alias("c2")), ["track", "id2"])
-        low = near.groupBy("track", "id").agg(F.min("c2").alias("low"))
-        jump = labels.select("track", F.col("id").alias("low"), F.col("cluster").alias("c3"))
-        nxt = labels.join(low, ["track", "id"], "left").join(jump, ["track", "low"], "left")
-        nxt = cut(nxt.select("track", "id", F.least("cluster", "low", "c3").alias("new"), F.col("cluster").alias("old")))
-        moved = nxt.where("new <> old").limit(1).count()
-        labels = nxt.select("track", "id", F.col("new").alias("cluster"))
-        if not moved:
-            break
-    else:
-        raise RuntimeError("labels still spread after the given rounds")
-    border = edges.join(labels.select("track", F.col("id").alias("id2"), F.col("cluster").alias("c2")), ["track", "id2"]).groupBy("track", "id").agg(F.min("c2").alias("border"))
-    out = df.select("track", "id").join(labels, ["track", "id"], "left").join(border, ["track", "id"], "left")
-    return out.select("track", "id", F.coalesce("cluster", "border").alias("cluster"))
+    kind = dict(df.dtypes)["track"]
+    within_us = None if within_s is None else within_s * 1_000_000
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        good = x[["t", "lat", "lon"]].notna().all(axis=1).to_numpy()
+        y = x[good]
+        ids = y.id.to_numpy()
+        label, core, border = dbscan(y.t.to_numpy(np.int64), y.lat.to_numpy(float), y.lon.to_numpy(float), eps_km, least, within_us)
+        least_id: dict[int, int] = {}
+        for k, i in zip(label[core].tolist(), ids[core].tolist()):
+            least_id[k] = min(i, least_id.get(k, i))
+        found = [least_id.get(k) for k in label.tolist()]
+        for k, near in border:
+            found[k] = min(least_id[c] for c in near.tolist())
+        out = pd.Series([None] * len(x), dtype="Int64")
+        out[np.flatnonzero(good)] = pd.array(found, dtype="Int64")
+        return pd.DataFrame({"track": x.track.to_numpy(), "id": x.id.to_numpy(), "cluster": out})
+
+    return df.select("track", "id", "t", "lat", "lon").groupBy("track").applyInPandas(run, f"track {kind}, id long, cluster long")

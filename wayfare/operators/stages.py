@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfare.functions.columns import scratch
 from wayfare.functions.geo import bearing_deg, destination, haversine_km
-from wayfare.operators.trajectory import along
+from wayfare.operators.trajectory import along, inside_spans
 
 
 def transition_points(trace: DataFrame, changes: DataFrame, default: str = "car") -> DataFrame:
@@ -64,20 +65,58 @@ def transition_points(trace: DataFrame, changes: DataFrame, default: str = "car"
 
 
 def stages(points: DataFrame, ends: DataFrame, keep_last: bool = True) -> DataFrame:
-    """(track, stage, mode, start_t, end_t) between successive transition points; the last stage reaches to the end of
-    its track (``ends``: track, end_t), or is dropped with ``keep_last`` false where there are two or more points."""
+    """(track, stage, mode, start_t, end_t, lat, lon, end_lat, end_lon) between successive transition points; the last stage reaches to the end of
+    its track (``ends``: track, end_t, end_lat, end_lon), or is dropped with ``keep_last`` false where there are two or more points."""
     w = Window.partitionBy("track").orderBy("t", "mode")
-    x = points.withColumns({"next": F.lead("t").over(w), "stage": F.row_number().over(w) - 1, "points": F.count(F.lit(1)).over(Window.partitionBy("track"))})
+    ends = ends.select("track", "end_t", F.struct("end_lat", "end_lon").alias("goal"))
+    x = points.withColumns({"next": F.lead("t").over(w), "to": F.lead(F.struct(F.col("lat").alias("end_lat"), F.col("lon").alias("end_lon"))).over(w), "stage": F.row_number().over(w) - 1, "points": F.count(F.lit(1)).over(Window.partitionBy("track"))})
     x = x.join(ends, "track")
     if not keep_last:
         x = x.where(F.col("next").isNotNull() | (F.col("points") == 1))
-    return x.select("track", F.col("stage").cast("long").alias("stage"), "mode", F.col("t").alias("start_t"), F.coalesce("next", "end_t").alias("end_t"))
+    return x.select("track", F.col("stage").cast("long").alias("stage"), "mode", F.col("t").alias("start_t"), F.coalesce("next", "end_t").alias("end_t"), "lat", "lon", F.coalesce("to", "goal").alias("to")).select("*", "to.*").drop("to")
 
 
 def stage_confidence(stage: DataFrame, probs: DataFrame) -> DataFrame:
     """Add ``confidence``: the mean probability of the rows of ``probs`` within a stage, both ends included, whose mode
-    is the stage's; 0 where there are none. Joined on the track, a day, with the time as residual condition."""
-    p = probs.select(F.col("track").alias("p_track"), F.col("t").alias("p_t"), F.col("mode").alias("p_mode"), F.col("prob").alias("p"))
-    on = (F.col("track") == F.col("p_track")) & (F.col("mode") == F.col("p_mode")) & F.col("p_t").between(F.col("start_t"), F.col("end_t"))
-    g = stage.join(p, on, "left").groupBy(*stage.columns).agg(F.avg("p").alias("c"))
-    return g.select(*stage.columns, F.coalesce("c", F.lit(0.0)).alias("confidence"))
+    is the stage's; 0 where there are none.
+
+    The mean is a difference of running sums: the rows of a track and mode are sorted once together with a mark at the
+    start and one at the end of each stage, so nothing is joined by range. Sums are decimal, so that no digit is lost in
+    the difference. A null or NaN probability is left out."""
+    key, n, total = scratch(stage, 3)
+    marks = stage.withColumn(key, F.struct(*[F.col(f"`{c}`") for c in stage.columns]))
+    mark = lambda t, side: F.struct(F.col(t).alias("t"), F.lit(side).alias("side"))
+    marks = marks.select(F.col("track"), F.col("mode"), F.inline(F.array(mark("start_t", 0), mark("end_t", 2))), F.lit(None).cast("decimal(18,12)").alias("p"), key)
+    rows = probs.where(F.col("prob").isNotNull() & ~F.isnan("prob")).select("track", "mode", "t", F.lit(1).alias("side"), F.col("prob").cast("decimal(18,12)").alias("p"))
+    every = marks.unionByName(rows, allowMissingColumns=True)
+    so_far = Window.partitionBy("track", "mode").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    every = every.withColumns({n: F.count("p").over(so_far), total: F.coalesce(F.sum("p").over(so_far), F.lit(0))}).where("side <> 1")
+    sign = F.col("side") - 1  # minus what came before the start, plus what came up to the end
+    g = every.groupBy(key).agg(F.sum(sign * F.col(n)).alias(n), F.sum(sign * F.col(total)).alias(total), F.count(F.lit(1)).alias("copies"))
+    copies = F.explode(F.array_repeat(F.lit(0), (F.col("copies") / 2).cast("int")))  # equal stages stay as many rows
+    mean = F.when(F.col(n) > 0, F.col(total).cast("double") / F.nullif(F.col(n), F.lit(0))).otherwise(0.0)
+    return g.select(F.col(key), mean.alias("confidence"), copies.alias(n)).select(f"{key}.*", "confidence")
+
+
+def stage_traces(stage: DataFrame, trace: DataFrame) -> DataFrame:
+    """Add ``trace``, an array of (t, lat, lon): the stage's start position, the points of the track strictly within the
+    stage, its end position. ``stage`` holds (track, stage, start_t, end_t, lat, lon, end_lat, end_lon)."""
+    spans = stage.select("track", "stage", F.col("start_t").alias("a"), F.col("end_t").alias("b"))
+    inner = inside_spans(trace.select("track", "t", "id", "lat", "lon"), spans, ["track"])
+    inner = inner.groupBy("track", "stage").agg(F.sort_array(F.collect_list(F.struct("t", "id", "lat", "lon"))).alias("inner"))
+    point = lambda t, lat, lon: F.array(F.struct(F.col(t).alias("t"), F.col(lat).alias("lat"), F.col(lon).alias("lon")))
+    middle = F.transform(F.coalesce("inner", F.array().cast("array<struct<t:bigint,id:bigint,lat:double,lon:double>>")), lambda p: F.struct(p["t"].alias("t"), p["lat"].alias("lat"), p["lon"].alias("lon")))
+    x = stage.join(inner, ["track", "stage"], "left")
+    return x.withColumn("trace", F.concat(point("start_t", "lat", "lon"), middle, point("end_t", "end_lat", "end_lon"))).drop("inner")
+
+
+def widen_ends(stage: DataFrame, samples: DataFrame) -> DataFrame:
+    """(trip_id, stage_id, start_us, end_us): the first stage of a trip starts with the trip's first sample and the last
+    ends with its last, by ``samples`` (trip_id, lo, hi); a trip without samples keeps its own. Stages are in order of
+    start, then id; ``stage`` holds (trip_id, stage_id, start_us, end_us)."""
+    w = Window.partitionBy("trip_id").orderBy("start_us", "stage_id")
+    back = Window.partitionBy("trip_id").orderBy(F.desc("start_us"), F.desc("stage_id"))
+    x = stage.withColumns({"first": F.row_number().over(w) == 1, "final": F.row_number().over(back) == 1}).join(samples, "trip_id", "left")
+    start = F.when(F.col("first"), F.coalesce("lo", "start_us")).otherwise(F.col("start_us"))
+    end = F.when(F.col("final"), F.coalesce("hi", "end_us")).otherwise(F.col("end_us"))
+    return x.select("trip_id", "stage_id", start.alias("start_us"), end.alias("end_us"))

@@ -1,6 +1,7 @@
 """Operators on trajectories: (track, id, t, lat, lon) rows ordered by t and id within a track.
 
-A track is one user's day, so windows partitioned by it are bounded by what a device records in a day.
+A track is one device's day (see ``sources/tracks.py``), so windows partitioned by it are bounded by what a device
+records in a day, whatever the number of devices.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from wayfare.functions.columns import floor_div, scratch
 from wayfare.functions.geo import bearing_deg, haversine_km, seconds_between, speed_kmh
 
 
@@ -175,6 +177,45 @@ def window_trips(df: DataFrame, window_s: int, step_s: int, threshold_km: float,
     return trips.select("track", F.col("trip").cast("long").alias("trip"), F.col("x.a").alias("start_id"), F.col("x.b").alias("end_id"), F.col("x.n").cast("long").alias("n"))
 
 
+# Microseconds of the units that a calendar can be split by.
+UNITS = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}
+
+
+def calendar_part(t: Column, value: int, unit: str) -> Column:
+    """The start, in microseconds, of the stretch of ``value`` units that ``t`` falls in, counted from 1970 on."""
+    if unit not in UNITS or value < 1:
+        raise ValueError(f"cannot split by {value} {unit}")
+    return t - F.pmod(t, F.lit(value * UNITS[unit]))
+
+
+def calendar_counts(df: DataFrame, t: str, value: int, unit: str, strict: bool = False, empty: bool = False) -> DataFrame:
+    """(start_t, n): rows per stretch of ``value`` units. Stretches are half-open; with ``strict`` rows exactly on a
+    boundary are left out. With ``empty`` stretches without rows between the first and the last are given too."""
+    part = calendar_part(F.col(t), value, unit)
+    x = df.where(F.col(t).isNotNull())
+    g = (x.where(F.col(t) != part) if strict else x).groupBy(part.alias("start_t")).agg(F.count(F.lit(1)).alias("n"))
+    if not empty:
+        return g
+    every = g.agg(F.sequence(F.min("start_t"), F.max("start_t"), F.lit(value * UNITS[unit])).alias("s")).select(F.explode("s").alias("start_t"))
+    return every.join(g, "start_t", "left").select("start_t", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def clock_of(seconds: Column, day: str = "2018-06-03") -> Column:
+    """The TIMESTAMP_NTZ at ``seconds`` of the day, on a fixed day."""
+    return F.to_timestamp_ntz(F.lit(day + " 00:00:00")) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def inside_spans(rows: DataFrame, spans: DataFrame, keys: list[str], width_us: int = 3_600_000_000) -> DataFrame:
+    """Rows (keys, t, ...) strictly inside spans (keys, a, b, ...) of the same keys, with the columns of both.
+
+    A span is put into every stretch of ``width_us`` that it touches and rows are joined on (keys, stretch), so that
+    only rows and spans of one stretch are compared and a hot key is spread over its time. Nulls match nothing."""
+    (part,) = scratch(rows, 1, also=tuple(spans.columns))
+    at = lambda c: floor_div(F.col(c), width_us)
+    s = spans.where("a <= b").withColumn(part, F.explode(F.sequence(at("a"), at("b"))))
+    return rows.withColumn(part, at("t")).join(s, [*keys, part]).where("t > a and t < b").drop(part)
+
+
 def merge_intervals_within(df: DataFrame, key: str, start: str, end: str, within_us: int) -> DataFrame:
     """Chains of intervals of a key, each starting less than ``within_us`` after the end reached so far, as one:
     (key, start, end, n)."""

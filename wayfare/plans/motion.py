@@ -9,14 +9,14 @@ from pyspark.sql.window import Window
 from wayfare.functions import geo
 from wayfare.operators import clusters, trajectory
 from wayfare.plans.registry import query
+from wayfare.settings import STUDY
+from wayfare.sources.tables import table
 from wayfare.sources.tracks import (
     SQL_PAIRS, SQL_TRACKS, SQL_W, day_tracks, sql_bearing, sql_km, sql_kmh,
 )
 
 R = lambda c, n=6: F.round(c, n)
-GAP_S = 1200
-TRIP = {"window_s": 3000, "step_s": 600, "threshold_km": 0.5}
-STOP = {"ceps": 0.8, "eps": 0.5, "least": 4}
+GAP_S, TRIP, STOP = STUDY.gap_s, STUDY.window, STUDY.stop
 
 
 @query(f"WITH {SQL_PAIRS} SELECT id, round(km, 6) AS km, round({sql_kmh('km', 's')}, 6) AS kmh, s AS seconds FROM pr")
@@ -51,15 +51,15 @@ def velocity_change(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("id", R(geo.velocity_change_rate("v1", "v2")).alias("rate"))
 
 
-@query(f"WITH {SQL_PAIRS} SELECT track::varchar AS track, round(sum(km), 6) AS km FROM pr GROUP BY track")
+@query(f"WITH {SQL_PAIRS} SELECT track, round(sum(km), 6) AS km FROM pr GROUP BY track")
 def path_length(spark: SparkSession, folder: str) -> DataFrame:
-    return trajectory.pairs(day_tracks(spark, folder)).groupBy(F.col("track").cast("string").alias("track")).agg(R(F.sum("km")).alias("km"))
+    return trajectory.pairs(day_tracks(spark, folder)).groupBy("track").agg(R(F.sum("km")).alias("km"))
 
 
-@query(f"WITH {SQL_PAIRS} SELECT track::varchar AS track, CASE WHEN min(s) > 0 THEN round(avg(km * 1000.0::double / nullif(s, 0) * 3.6::double), 6) END AS kmh FROM pr GROUP BY track")
+@query(f"WITH {SQL_PAIRS}, v AS (SELECT track, CASE WHEN min(s) > 0 THEN round(avg(km * 1000.0::double / nullif(s, 0) * 3.6::double), 6) END AS kmh FROM pr GROUP BY track) SELECT DISTINCT tr.track, kmh FROM tr LEFT JOIN v ON v.track = tr.track")
 def trip_avg_speed(spark: SparkSession, folder: str) -> DataFrame:
     v = trajectory.mean_pair_speed(day_tracks(spark, folder), ["track"])
-    return v.select(F.col("track").cast("string").alias("track"), R("kmh").alias("kmh"))
+    return v.select("track", R("kmh").alias("kmh"))
 
 
 _OUT = f"""{SQL_TRACKS}, n3 AS (SELECT *, lag(t) OVER w AS ta, lag(lat) OVER w AS la, lag(lon) OVER w AS oa, lead(t) OVER w AS tc, lead(lat) OVER w AS lc, lead(lon) OVER w AS oc FROM tr {SQL_W}),
@@ -69,22 +69,20 @@ q AS (SELECT *, {sql_km('la', 'oa', 'lat', 'lon')} AS d12, {sql_km('lat', 'lon',
 outl AS (SELECT * FROM q WHERE (turn <= 5 AND s13 <= 90 AND d12 >= 0.1) OR (d13 <= 0.1 AND {sql_kmh('d12', 's12')} >= 30 AND {sql_kmh('d23', 's23')} >= 30))"""
 
 
-@query(f"WITH {_OUT} SELECT id, track::varchar AS track FROM outl")
+@query(f"WITH {_OUT} SELECT id, track FROM outl")
 def gps_outliers(spark: SparkSession, folder: str) -> DataFrame:
-    return trajectory.outliers(day_tracks(spark, folder)).select("id", F.col("track").cast("string").alias("track"))
+    return trajectory.outliers(day_tracks(spark, folder)).select("id", "track")
 
 
-@query(f"WITH {_OUT} SELECT track::varchar AS track, count(*)::bigint AS n FROM tr WHERE id NOT IN (SELECT id FROM outl) GROUP BY track")
+@query(f"WITH {_OUT} SELECT track, count(*)::bigint AS n FROM tr WHERE id NOT IN (SELECT id FROM outl) GROUP BY track")
 def outliers_removed(spark: SparkSession, folder: str) -> DataFrame:
     d = day_tracks(spark, folder)
     kept = trajectory.without(d, trajectory.outliers(d))
-    return kept.groupBy(F.col("track").cast("string").alias("track")).agg(F.count(F.lit(1)).alias("n"))
+    return kept.groupBy("track").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH d AS (SELECT user_id, timestamp, point.latitude AS lat, point.longitude AS lon FROM locationeventpertime) SELECT user_id, count(*)::bigint AS n, count(DISTINCT (timestamp, lat, lon))::bigint AS distinct_n FROM d WHERE timestamp IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL GROUP BY user_id")
 def distinct_points(spark: SparkSession, folder: str) -> DataFrame:
-    from wayfare.sources.tables import table
-
     d = table(spark, folder, "locationeventpertime").select("user_id", "timestamp", "point.latitude", "point.longitude").dropna()
     g = d.groupBy("user_id", "timestamp", "latitude", "longitude").agg(F.count(F.lit(1)).alias("n"))
     return g.groupBy("user_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct_n"))
@@ -108,11 +106,11 @@ sg AS (SELECT *, (sum(cut) OVER w)::bigint AS segment FROM g0 {SQL_W})"""
 @query(
     f"""WITH {_SEG}, h AS (SELECT *, lag(lat) OVER v AS pa, lag(lon) OVER v AS po FROM sg WINDOW v AS (PARTITION BY track, segment ORDER BY t, id)),
 a AS (SELECT track, segment, count(*)::bigint AS n, min(t) AS start_t, max(t) AS end_t, coalesce(sum({sql_km('pa', 'po', 'lat', 'lon')}), 0.0) AS km FROM h GROUP BY 1, 2)
-SELECT track::varchar AS track, segment, n, start_t, end_t, round(km, 6) AS km, round({sql_kmh('km', 'floor((end_t - start_t) / 1000000.0::double)')}, 6) AS kmh FROM a"""
+SELECT track, segment, n, start_t, end_t, round(km, 6) AS km, round({sql_kmh('km', 'floor((end_t - start_t) / 1000000.0::double)')}, 6) AS kmh FROM a"""
 )
 def trip_summary(spark: SparkSession, folder: str) -> DataFrame:
     s = trajectory.path_stats(trajectory.gap_segments(day_tracks(spark, folder), GAP_S), ["track", "segment"])
-    return s.select(F.col("track").cast("string").alias("track"), "segment", "n", "start_t", "end_t", R("km").alias("km"), R("kmh").alias("kmh"))
+    return s.select("track", "segment", "n", "start_t", "end_t", R("km").alias("km"), R("kmh").alias("kmh"))
 
 
 @query(f"WITH {_SEG} SELECT id, segment FROM sg")
@@ -120,71 +118,90 @@ def gap_segments(spark: SparkSession, folder: str) -> DataFrame:
     return trajectory.gap_segments(day_tracks(spark, folder), GAP_S).select("id", "segment")
 
 
-@query("WITH d AS (SELECT cast(ts AS date) AS day, count(*) AS n FROM events GROUP BY 1), b AS (SELECT min(day) AS a, max(day) AS z FROM d) SELECT r.day::date::varchar AS day, coalesce(d.n, 0)::bigint AS n FROM (SELECT unnest(generate_series(a::timestamp, z::timestamp, INTERVAL 1 DAY)) AS day FROM b) r LEFT JOIN d ON d.day = r.day::date")
+@query("WITH d AS (SELECT date_trunc('day', received_at)::date AS day, count(*) AS n FROM locationeventpertime WHERE received_at IS NOT NULL GROUP BY 1), b AS (SELECT min(day) AS a, max(day) AS z FROM d) SELECT r.day::date::varchar AS day, coalesce(d.n, 0)::bigint AS n FROM (SELECT unnest(generate_series(a::timestamp, z::timestamp, INTERVAL 1 DAY)) AS day FROM b) r LEFT JOIN d ON d.day = r.day::date")
 def day_split(spark: SparkSession, folder: str) -> DataFrame:
-    d = day_tracks(spark, folder).groupBy("track").agg(F.count(F.lit(1)).alias("n"))
-    days = d.agg(F.sequence(F.min("track"), F.max("track")).alias("s")).select(F.explode("s").alias("track"))
-    return days.join(d, "track", "left").select(F.col("track").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
+    """Fixes per UTC day, days without any included."""
+    d = table(spark, folder, "locationeventpertime").where("received_at is not null").select(F.unix_micros(F.col("received_at").cast("timestamp")).alias("t"))
+    n = trajectory.calendar_counts(d, "t", 1, "day", empty=True)
+    return n.select(F.date_format(F.timestamp_micros("start_t"), "yyyy-MM-dd").alias("day"), "n")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 15 MINUTE, received_at)) AS start_t, count(*)::bigint AS n FROM locationeventpertime WHERE received_at IS NOT NULL GROUP BY 1")
+def calendar_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Fixes per quarter of an hour."""
+    d = table(spark, folder, "locationeventpertime").where("received_at is not null").select(F.unix_micros(F.col("received_at").cast("timestamp")).alias("t"))
+    return trajectory.calendar_counts(d, "t", 15, "minute")
 
 
 @query(
     f"""WITH {SQL_TRACKS}, w0 AS (SELECT *, t - t % 3600000000 AS win FROM tr), h AS (SELECT *, lag(lat) OVER v AS pa, lag(lon) OVER v AS po FROM w0 WINDOW v AS (PARTITION BY track, win ORDER BY t, id)),
 g AS (SELECT track, win, count(*)::bigint AS n, arg_min(id, (t, id)) AS first_id, arg_max(id, (t, id)) AS last_id, arg_min(lat, (t, id)) AS la, arg_min(lon, (t, id)) AS oa, arg_max(lat, (t, id)) AS lb, arg_max(lon, (t, id)) AS ob,
   coalesce(sum({sql_km('pa', 'po', 'lat', 'lon')}), 0.0) AS path_km, floor((max(t) - min(t)) / 1000000.0::double) AS s FROM h GROUP BY 1, 2)
-SELECT track::varchar AS track, win, n, first_id, last_id, round(sqrt((lb - la) * (lb - la) + (ob - oa) * (ob - oa)), 6) AS degrees, round({sql_km('la', 'oa', 'lb', 'ob')}, 6) AS km, round(path_km, 6) AS path_km, round({sql_kmh('path_km', 's')}, 6) AS kmh FROM g"""
+SELECT track, win, n, first_id, last_id, round(sqrt((lb - la) * (lb - la) + (ob - oa) * (ob - oa)), 6) AS degrees, round({sql_km('la', 'oa', 'lb', 'ob')}, 6) AS km, round(path_km, 6) AS path_km, round({sql_kmh('path_km', 's')}, 6) AS kmh FROM g"""
 )
 def tumbling_window_stats(spark: SparkSession, folder: str) -> DataFrame:
     s = trajectory.tumbling_stats(day_tracks(spark, folder), 3600)
-    return s.select(F.col("track").cast("string").alias("track"), "win", "n", "first_id", "last_id", R("degrees").alias("degrees"), R("km").alias("km"), R("path_km").alias("path_km"), R("kmh").alias("kmh"))
+    return s.select("track", "win", "n", "first_id", "last_id", R("degrees").alias("degrees"), R("km").alias("km"), R("path_km").alias("path_km"), R("kmh").alias("kmh"))
 
 
 _WIN = f"""{SQL_TRACKS}, s0 AS (SELECT *, t % 86400000000 AS sod FROM tr),
-wk AS (SELECT k::bigint AS k FROM (SELECT unnest(range(0, 86400 - 3000, 600)) AS k)),
-wp AS (SELECT s0.*, wk.k FROM s0 JOIN wk ON sod >= wk.k * 1000000 AND sod <= (wk.k + 600) * 1000000),
+wk AS (SELECT k::bigint AS k FROM (SELECT unnest(range(0, 86400 - {TRIP['window_s']}, {TRIP['step_s']})) AS k)),
+wp AS (SELECT s0.*, wk.k FROM s0 JOIN wk ON sod >= wk.k * 1000000 AND sod <= (wk.k + {min(TRIP['window_s'], TRIP['step_s'])}) * 1000000),
 wg AS (SELECT track, k, arg_min(id, (t, id)) AS first_id, arg_max(id, (t, id)) AS last_id, arg_min(lat, (t, id)) AS la, arg_min(lon, (t, id)) AS oa, arg_max(lat, (t, id)) AS lb, arg_max(lon, (t, id)) AS ob FROM wp GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_WIN} SELECT track::varchar AS track, k, first_id, last_id, {sql_km('la', 'oa', 'lb', 'ob')} >= 0.5 AS moving FROM wg")
+@query(f"WITH {_WIN} SELECT track, k, first_id, last_id, {sql_km('la', 'oa', 'lb', 'ob')} >= {TRIP['threshold_km']} AS moving FROM wg")
 def window_distance_categories(spark: SparkSession, folder: str) -> DataFrame:
-    return trajectory.day_windows(day_tracks(spark, folder), **TRIP).withColumn("track", F.col("track").cast("string"))
+    return trajectory.day_windows(day_tracks(spark, folder), **TRIP)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_WIN}, fc AS (SELECT track, first_id AS id, arg_min({sql_km('la', 'oa', 'lb', 'ob')} >= {TRIP['threshold_km']}, k) AS moving FROM wg GROUP BY 1, 2),
+pt AS (SELECT tr.track, tr.id, CASE WHEN moving THEN 1 WHEN NOT moving THEN 0 ELSE -1 END AS cat, row_number() OVER (PARTITION BY tr.track ORDER BY tr.t, tr.id) AS i FROM tr LEFT JOIN fc ON fc.track = tr.track AND fc.id = tr.id),
+st AS (SELECT track, 0::bigint AS i, false AS live, 0 AS noise, NULL::bigint AS a, NULL::bigint AS b, 0::bigint AS n, NULL::bigint AS da, NULL::bigint AS db, 0::bigint AS dn FROM (SELECT DISTINCT track FROM pt)
+  UNION ALL SELECT track, i, y.live, y.noise, y.a, y.b, y.n, y.da, y.db, y.dn FROM (SELECT s.track, p.i, CASE
+      WHEN s.live AND p.cat = 0 AND s.noise > {STUDY.noise} THEN {{'live': false, 'noise': 0, 'a': NULL::bigint, 'b': NULL::bigint, 'n': 0::bigint, 'da': s.a, 'db': s.b, 'dn': s.n}}
+      WHEN s.live THEN {{'live': true, 'noise': s.noise + (p.cat = 0)::int, 'a': s.a, 'b': p.id, 'n': s.n + 1, 'da': NULL::bigint, 'db': NULL::bigint, 'dn': 0::bigint}}
+      WHEN p.cat = 1 THEN {{'live': true, 'noise': 0, 'a': p.id, 'b': p.id, 'n': 1::bigint, 'da': NULL::bigint, 'db': NULL::bigint, 'dn': 0::bigint}}
+      ELSE {{'live': false, 'noise': 0, 'a': NULL::bigint, 'b': NULL::bigint, 'n': 0::bigint, 'da': NULL::bigint, 'db': NULL::bigint, 'dn': 0::bigint}} END AS y
+    FROM st s JOIN pt p ON p.track = s.track AND p.i = s.i + 1))
+SELECT track, row_number() OVER (PARTITION BY track ORDER BY i) - 1 AS trip, da AS start_id, db AS end_id, dn AS n FROM st WHERE dn > {STUDY.least_points}"""
+)
 def window_distance_trips(spark: SparkSession, folder: str) -> DataFrame:
-    t = trajectory.window_trips(day_tracks(spark, folder), **TRIP, noise=2, least=5)
-    return t.withColumn("track", F.col("track").cast("string"))
+    t = trajectory.window_trips(day_tracks(spark, folder), **TRIP, noise=STUDY.noise, least=STUDY.least_points)
+    return t
 
 
 @query(
     f"""WITH {_SEG}, a AS (SELECT track, segment, min(t) AS start_t, max(t) AS end_t FROM sg GROUP BY 1, 2),
 b AS (SELECT *, CASE WHEN start_t - max(end_t) OVER (PARTITION BY track ORDER BY start_t, end_t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM a),
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY track ORDER BY start_t, end_t) AS chain FROM b)
-SELECT track::varchar AS track, min(start_t) AS start_t, max(end_t) AS end_t, count(*)::bigint AS n FROM c GROUP BY track, chain"""
+SELECT track, min(start_t) AS start_t, max(end_t) AS end_t, count(*)::bigint AS n FROM c GROUP BY track, chain"""
 )
 def trip_merge(spark: SparkSession, folder: str) -> DataFrame:
     s = trajectory.gap_segments(day_tracks(spark, folder), GAP_S).groupBy("track", "segment").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"))
     m = trajectory.merge_intervals_within(s, "track", "start_t", "end_t", 1_800_000_000)
-    return m.select(F.col("track").cast("string").alias("track"), "start_t", "end_t", "n")
+    return m.select("track", "start_t", "end_t", "n")
 
 
 @query()
 def tdbscan_stops(spark: SparkSession, folder: str) -> DataFrame:
     s = clusters.stop_points(day_tracks(spark, folder), **STOP)
     g = s.groupBy("track", "stop").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), R(F.avg("lat")).alias("lat"), R(F.avg("lon")).alias("lon"))
-    return g.withColumn("track", F.col("track").cast("string"))
+    return g
 
 
 @query()
 def tdbscan_expanding_stops(spark: SparkSession, folder: str) -> DataFrame:
     s = clusters.stop_points(day_tracks(spark, folder), **STOP, expand_all=True)
-    return s.groupBy(F.col("track").cast("string").alias("track"), "stop").agg(F.count(F.lit(1)).alias("n"))
+    return s.groupBy("track", "stop").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def cluster_trips(spark: SparkSession, folder: str) -> DataFrame:
     d = day_tracks(spark, folder)
     t = clusters.trips_between_stops(d, clusters.stop_points(d, **STOP))
-    return t.withColumns({"track": F.col("track").cast("string"), "kmh": R("kmh")})
+    return t.withColumn("kmh", R("kmh"))
 
 
 @query()
@@ -194,7 +211,7 @@ def extract_trips(spark: SparkSession, folder: str) -> DataFrame:
     d = day_tracks(spark, folder)
     d = trajectory.without(d, trajectory.outliers(d))
     by_stop = clusters.trips_between_stops(d, clusters.stop_points(d, **STOP)).select("track", "start_id", "end_id", F.lit("cluster").alias("how"))
-    by_window = trajectory.window_trips(d, **TRIP, noise=2, least=5).select("track", "start_id", "end_id", F.lit("window").alias("how"))
+    by_window = trajectory.window_trips(d, **TRIP, noise=STUDY.noise, least=STUDY.least_points).select("track", "start_id", "end_id", F.lit("window").alias("how"))
     large = d.groupBy("track").agg((F.count(F.lit(1)) >= 300).alias("large"))
     both = by_stop.unionByName(by_window).join(large, "track")
     w = Window.partitionBy("track")
@@ -204,15 +221,30 @@ def extract_trips(spark: SparkSession, folder: str) -> DataFrame:
     to = d.select(F.col("id").alias("end_id"), F.col("t").alias("end_t"))
     timed = both.join(at, "start_id").join(to, "end_id")
     m = trajectory.merge_intervals_within(timed, "track", "start_t", "end_t", 300_000_000)
-    return m.select(F.col("track").cast("string").alias("track"), "start_t", "end_t", F.col("n").alias("parts"))
+    return m.select("track", "start_t", "end_t", F.col("n").alias("parts"))
 
 
-@query()
+_EDGES = """{tracks}, ed AS (SELECT a.track, a.id, b.id AS id2 FROM tr a JOIN tr b ON a.track = b.track AND abs(a.lat - b.lat) < {deg} AND {km} <= {eps}{time}),
+co AS (SELECT track, id FROM ed GROUP BY 1, 2 HAVING count(*) >= {least}),
+ce AS (SELECT ed.* FROM ed JOIN co x ON x.track = ed.track AND x.id = ed.id JOIN co y ON y.track = ed.track AND y.id = ed.id2),
+low AS (SELECT track, id FROM ce GROUP BY 1, 2 HAVING min(id2) = id),
+re AS (SELECT track, id, id AS root FROM low UNION SELECT ce.track, ce.id2, re.root FROM re JOIN ce ON ce.track = re.track AND ce.id = re.id),
+la AS (SELECT track, id, min(root) AS cluster FROM re GROUP BY 1, 2),
+bo AS (SELECT ed.track, ed.id, min(la.cluster) AS border FROM ed JOIN la ON la.track = ed.track AND la.id = ed.id2 GROUP BY 1, 2)
+SELECT tr.id, coalesce(cluster, border) AS cluster FROM tr LEFT JOIN la ON la.track = tr.track AND la.id = tr.id LEFT JOIN bo ON bo.track = tr.track AND bo.id = tr.id"""
+
+
+def _sql_dbscan(eps: float, least: int, within_s: int | None = None) -> str:
+    time = "" if within_s is None else f" AND abs(a.t - b.t) <= {within_s}000000"
+    return "WITH RECURSIVE " + _EDGES.format(tracks=SQL_TRACKS, deg=eps / 100, km=sql_km("a.lat", "a.lon", "b.lat", "b.lon"), eps=eps, time=time, least=least)
+
+
+@query(_sql_dbscan(0.05, 6))
 def spatial_dbscan(spark: SparkSession, folder: str) -> DataFrame:
-    c = clusters.density_clusters(day_tracks(spark, folder), 0.3, 6)
+    c = clusters.density_clusters(day_tracks(spark, folder), 0.05, 6)
     return c.select("id", "cluster")
 
 
-@query()
+@query(_sql_dbscan(0.1, 4, 600))
 def st_dbscan(spark: SparkSession, folder: str) -> DataFrame:
-    return clusters.density_clusters(day_tracks(spark, folder), 0.8, 4, within_s=3600).select("id", "cluster")
+    return clusters.density_clusters(day_tracks(spark, folder), 0.1, 4, within_s=600).select("id", "cluster")

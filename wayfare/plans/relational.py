@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from wayfare.functions import encodings
 from wayfare.operators import provenance, trajectory
 from wayfare.plans.registry import query
+from wayfare.settings import STUDY
 from wayfare.sources.places import SQL_PLACES, address_of, nearby, places
 from wayfare.sources.tables import table
-from wayfare.sources.tracks import SQL_TRACKS, SQL_W, day_tracks, sql_km
+from wayfare.sources.tracks import SQL_MODES, SQL_TRACKS, SQL_W, day_tracks, mode_sequence, sql_km
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -91,27 +92,16 @@ def stations(spark: SparkSession, folder: str) -> DataFrame:
     return places(spark, folder).where(F.col("cls").isin("RailwayStation", "BusStation")).select("poi_id", "label", "cls")
 
 
-@query("SELECT CASE WHEN count(*) >= 300 THEN 'cluster' ELSE 'window' END AS detector, cast(ts AS date)::varchar AS track FROM events GROUP BY cast(ts AS date)")
+@query(f"WITH {SQL_TRACKS} SELECT CASE WHEN count(*) >= {STUDY.large} THEN 'cluster' ELSE 'window' END AS detector, track FROM tr GROUP BY track")
 def detector_choice(spark: SparkSession, folder: str) -> DataFrame:
-    g = day_tracks(spark, folder).groupBy(F.col("track").cast("string").alias("track")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(F.when(F.col("n") >= 300, "cluster").otherwise("window").alias("detector"), "track")
+    g = day_tracks(spark, folder).groupBy("track").agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.when(F.col("n") >= STUDY.large, "cluster").otherwise("window").alias("detector"), "track")
 
 
-@query("SELECT cast(ts AS date)::varchar AS track, count(*)::bigint AS n FROM events GROUP BY cast(ts AS date) HAVING count(*) >= 120")
+@query(f"WITH {SQL_TRACKS} SELECT track, count(*)::bigint AS n FROM tr GROUP BY track HAVING count(*) >= {STUDY.least_samples}")
 def enough_samples(spark: SparkSession, folder: str) -> DataFrame:
-    g = day_tracks(spark, folder).groupBy(F.col("track").cast("string").alias("track")).agg(F.count(F.lit(1)).alias("n"))
-    return g.where("n >= 120")
-
-
-@query("WITH q AS (SELECT trip_id, stage_id, starttimestamp, coalesce(endtimestamp, starttimestamp) AS endtimestamp FROM predictedstage WHERE starttimestamp IS NOT NULL), p AS (SELECT trip_id, stage_id, starttimestamp, endtimestamp, row_number() OVER (PARTITION BY trip_id ORDER BY starttimestamp, stage_id) AS rn, count(*) OVER (PARTITION BY trip_id) AS n, min(starttimestamp) OVER (PARTITION BY trip_id) - INTERVAL 1 MINUTE AS lo, max(endtimestamp) OVER (PARTITION BY trip_id) + INTERVAL 1 MINUTE AS hi FROM q) SELECT stage_id, epoch_us(CASE WHEN rn = 1 THEN least(starttimestamp, lo) ELSE starttimestamp END) AS start_us, epoch_us(CASE WHEN rn = n THEN greatest(endtimestamp, hi) ELSE endtimestamp END) AS end_us FROM p")
-def boundary_widening(spark: SparkSession, folder: str) -> DataFrame:
-    """The first stage of a trip begins with its samples and the last ends with them."""
-    s = table(spark, folder, "predictedstage").where("starttimestamp is not null").select(
-        "trip_id", "stage_id", F.unix_micros(F.col("starttimestamp").cast("timestamp")).alias("s"), F.unix_micros(F.coalesce("endtimestamp", "starttimestamp").cast("timestamp")).alias("e")
-    )
-    w, whole = trajectory.Window.partitionBy("trip_id").orderBy("s", "stage_id"), trajectory.Window.partitionBy("trip_id")
-    x = s.withColumns({"rn": F.row_number().over(w), "n": F.count(F.lit(1)).over(whole), "lo": F.min("s").over(whole) - 60_000_000, "hi": F.max("e").over(whole) + 60_000_000})
-    return x.select("stage_id", F.when(F.col("rn") == 1, F.least("s", "lo")).otherwise(F.col("s")).alias("start_us"), F.when(F.col("rn") == F.col("n"), F.greatest("e", "hi")).otherwise(F.col("e")).alias("end_us"))
+    g = day_tracks(spark, folder).groupBy("track").agg(F.count(F.lit(1)).alias("n"))
+    return g.where(F.col("n") >= STUDY.least_samples)
 
 
 @query(f"WITH {SQL_TRACKS}, n AS (SELECT id, row_number() OVER w - 1 AS rn FROM tr {SQL_W}) SELECT id, rn::bigint AS no FROM n")
@@ -128,42 +118,42 @@ _PATH = "'[' || string_agg(printf('[%.6f,%.6f]', lon, lat), ', ' ORDER BY t, id)
 _FC = """'{"type":"FeatureCollection","features":['"""
 
 
-@query(f"WITH {SQL_TRACKS} SELECT track::varchar AS track, {_FC} || string_agg({_PT}, ',' ORDER BY t, id) || ']}}' AS geojson FROM tr GROUP BY track")
+@query(f"WITH {SQL_TRACKS} SELECT track, {_FC} || string_agg({_PT}, ',' ORDER BY t, id) || ']}}' AS geojson FROM tr GROUP BY track")
 def geojson_points(spark: SparkSession, folder: str) -> DataFrame:
     x = day_tracks(spark, folder).select("track", F.struct("t", "id", _points_json().alias("f")).alias("p"))
-    g = x.groupBy(F.col("track").cast("string").alias("track")).agg(F.sort_array(F.collect_list("p")).alias("p"))
+    g = x.groupBy("track").agg(F.sort_array(F.collect_list("p")).alias("p"))
     return g.select("track", encodings.collection(F.transform("p", lambda p: p["f"])).alias("geojson"))
 
 
 def _traces(spark: SparkSession, folder: str) -> DataFrame:
-    g = day_tracks(spark, folder).groupBy(F.col("track").cast("string").alias("track"))
+    g = day_tracks(spark, folder).groupBy("track")
     return g.agg(F.sort_array(F.collect_list(F.struct("t", "id", "lat", "lon"))).alias("trace"))
 
 
 _LINE = f"""'{{"type":"Feature","geometry":{{"type":"LineString","coordinates":' || {_PATH} || '}},"properties":' || printf('{{"start":%d,"end":%d}}', min(t), max(t)) || '}}'"""
 
 
-@query(f"WITH {SQL_TRACKS} SELECT track::varchar AS track, {_FC} || {_LINE} || ']}}' AS geojson FROM tr GROUP BY track")
+@query(f"WITH {SQL_TRACKS} SELECT track, {_FC} || {_LINE} || ']}}' AS geojson FROM tr GROUP BY track")
 def geojson_linestring(spark: SparkSession, folder: str) -> DataFrame:
     props = F.format_string('{"start":%d,"end":%d}', F.array_min("trace")["t"], F.array_max("trace")["t"])
     return _traces(spark, folder).select("track", encodings.collection(F.array(encodings.line_feature(F.col("trace"), props))).alias("geojson"))
 
 
-@query(f"WITH {SQL_TRACKS} SELECT track::varchar AS track, {_FC} || string_agg({_PT}, ',' ORDER BY t, id) || ',' || {_LINE} || ']}}' AS geojson FROM tr GROUP BY track")
+@query(f"WITH {SQL_TRACKS} SELECT track, {_FC} || string_agg({_PT}, ',' ORDER BY t, id) || ',' || {_LINE} || ']}}' AS geojson FROM tr GROUP BY track")
 def geojson_merge(spark: SparkSession, folder: str) -> DataFrame:
     a = geojson_points(spark, folder).withColumnRenamed("geojson", "points")
     both = a.join(geojson_linestring(spark, folder).withColumnRenamed("geojson", "line"), "track")
     return both.select("track", encodings.merged(F.col("points"), F.col("line")).alias("geojson"))
 
 
-@query(f"WITH {SQL_TRACKS} SELECT id, printf('{{\"id\":\"%s\",\"time\":%d,\"point\":\"POINT (%.6f %.6f)\"}}', track::varchar, t // 1000, lon, lat) AS sample FROM tr")
+@query(f"WITH {SQL_TRACKS} SELECT id, printf('{{\"id\":\"%s\",\"time\":%d,\"point\":\"POINT (%.6f %.6f)\"}}', track, t // 1000, lon, lat) AS sample FROM tr")
 def map_match_samples(spark: SparkSession, folder: str) -> DataFrame:
     d = day_tracks(spark, folder)
     ms = ((F.col("t") - F.pmod(F.col("t"), F.lit(1000))) / 1000).cast("long")
-    return d.select("id", encodings.sample(F.col("track").cast("string"), ms, F.col("lat"), F.col("lon")).alias("sample"))
+    return d.select("id", encodings.sample(F.col("track"), ms, F.col("lat"), F.col("lon")).alias("sample"))
 
 
-@query(f"WITH {SQL_TRACKS} SELECT track::varchar AS track, {_PATH} AS path, printf('[%.6f,%.6f]', arg_min(lat, (t, id)), arg_min(lon, (t, id))) AS start_coordinate, printf('[%.6f,%.6f]', arg_max(lat, (t, id)), arg_max(lon, (t, id))) AS stop_coordinate FROM tr GROUP BY track")
+@query(f"WITH {SQL_TRACKS} SELECT track, {_PATH} AS path, printf('[%.6f,%.6f]', arg_min(lat, (t, id)), arg_min(lon, (t, id))) AS start_coordinate, printf('[%.6f,%.6f]', arg_max(lat, (t, id)), arg_max(lon, (t, id))) AS stop_coordinate FROM tr GROUP BY track")
 def trip_rows(spark: SparkSession, folder: str) -> DataFrame:
     """What the trip table stores of a track: its path and its ends (their axis orders differ)."""
     a, b = F.array_min("trace"), F.array_max("trace")
@@ -194,11 +184,9 @@ def provenance_triples(spark: SparkSession, folder: str) -> DataFrame:
     return provenance.triples(table(spark, folder, "predictedstage"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN '#000000' WHEN 'click' THEN '#00ff00' WHEN 'view' THEN '#ff0000' WHEN 'purchase' THEN '#ffff00' WHEN 'signup' THEN '#0000ff' END AS colour FROM events")
+@query(f"WITH {SQL_MODES} SELECT id, CASE mode " + " ".join(f"WHEN '{m}' THEN '{c}'" for m, c in encodings.COLOURS.items()) + " END AS colour FROM mo")
 def mode_colours(spark: SparkSession, folder: str) -> DataFrame:
-    from wayfare.sources.tracks import mode_sequence
-
-    return mode_sequence(spark, folder).select(F.col("id").alias("event_id"), encodings.colour(F.col("mode")).alias("colour"))
+    return mode_sequence(spark, folder).select("id", encodings.colour(F.col("mode")).alias("colour"))
 
 
 @query("WITH v AS (SELECT trip_id, label, prob FROM predictedstage WHERE label IS NOT NULL) SELECT trip_id, count(*)::bigint AS n, round(avg(prob), 6) AS mean_prob, count(DISTINCT label)::bigint AS labels FROM v GROUP BY 1")

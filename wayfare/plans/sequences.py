@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from wayfare.operators import features, modes, stages, trajectory
 from wayfare.plans.registry import query
+from wayfare.settings import STUDY
 from wayfare.sources.tables import table
-from wayfare.sources.tracks import SQL_MODES, SQL_SENSOR, SQL_TRACKS, SQL_W, day_tracks, mode_sequence, sensor_rows
+from wayfare.sources.tracks import (
+    SQL_MODES, SQL_PAIRS, SQL_SENSOR, SQL_SPANS, SQL_TRACKS, SQL_W, day_tracks, mode_sequence, sensor_rows, sql_bearing, sql_km, stage_trips,
+)
 
 LABELS = ["walk", "bike", "car", "bus", "train", "still"]
 _LIST = "[" + ", ".join(f"'{m}'" for m in LABELS) + "]"
@@ -17,7 +20,7 @@ R = lambda c, n=6: F.round(c, n)
 
 def _probs(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
-    return e.select(F.lit(0).alias("track"), F.col("vec_id").alias("id"), F.col("vec_id").alias("t"), F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double")).alias("probs"))
+    return e.select(F.floor(F.col("vec_id") / 1000).alias("track"), F.col("vec_id").alias("id"), F.col("vec_id").alias("t"), F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double")).alias("probs"))
 
 
 @query(f"SELECT vec_id AS id, {_LIST}[list_position(embedding[1:6], list_max(embedding[1:6]))] AS mode FROM embeddings")
@@ -57,7 +60,7 @@ def majority_vote_batched(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "WITH s AS (SELECT vec_id AS id, "
-    + ", ".join(f"round(sum(embedding[{k}]::double) OVER (ORDER BY vec_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 9) AS s{k}" for k in range(1, 7))
+    + ", ".join(f"round(sum(embedding[{k}]::double) OVER (PARTITION BY vec_id // 1000 ORDER BY vec_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 9) AS s{k}" for k in range(1, 7))
     + " FROM embeddings) SELECT id, list_position([s1, s2, s3, s4, s5, s6], greatest(s1, s2, s3, s4, s5, s6))::bigint AS winner FROM s"
 )
 def weighted_vote(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,51 +81,99 @@ def asof_mode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = modes.majority_vote(mode_sequence(spark, folder), 2, 1)
-    return stages.transition_points(day_tracks(spark, folder), modes.compress(cleaned).select("track", "t", "mode"))
-
-
-@query()
+    cleaned = modes.majority_vote(mode_sequence(spark, folder), STUDY.vote_rows, 1)
+    return stages.transition_points(day_tracks(spark, folder), modes.compress(cleaned).select("track", "t", "mode"), STUDY.default_mode)
+
+
+def _sql_split(t: str) -> tuple[str, str]:
+    """Latitude and longitude on a hop from (lat, lon) to (lat2, lon2) at time ``t`` of it."""
+    r = f"({sql_km('lat', 'lon', 'lat2', 'lon2')} * (({t} - t) / (t2 - t)) / 6378.1::double)"
+    b = f"radians({sql_bearing('lat', 'lon', 'lat2', 'lon2')})"
+    la = f"asin(sin(radians(lat)) * cos({r}) + cos(radians(lat)) * sin({r}) * cos({b}))"
+    return f"degrees({la})", f"degrees(radians(lon) + atan2(sin({b}) * sin({r}) * cos(radians(lat)), cos({r}) - sin(radians(lat)) * sin({la})))"
+
+
+_VOTED = f"PARTITION BY track ORDER BY t, id ROWS BETWEEN {STUDY.vote_rows} PRECEDING AND {STUDY.vote_rows} FOLLOWING"
+_AT = _sql_split("l[j].t")
+_TRANSITIONS = f"""{SQL_PAIRS}, {SQL_MODES}, {_sql_vote("mo", "v1", _VOTED)},
+ch AS (SELECT track, t, mode FROM (SELECT *, lag(mode) OVER w AS was FROM v1 {SQL_W}) WHERE was IS NULL OR was <> mode),
+c0 AS (SELECT track, arg_min(mode, t) AS mode FROM ch GROUP BY 1),
+ins AS (SELECT pr.track, pr.id, list({{'t': ch.t, 'mode': ch.mode}} ORDER BY ch.t) AS l FROM pr JOIN ch ON ch.track = pr.track AND ch.t > pr.t AND ch.t < pr.t2 GROUP BY 1, 2),
+h AS (SELECT pr.*, l, coalesce(len(l), 0) AS n, b.mode AS before, c0.mode AS head FROM pr LEFT JOIN ins ON ins.id = pr.id ASOF LEFT JOIN ch b ON b.track = pr.track AND pr.t > b.t LEFT JOIN c0 ON c0.track = pr.track),
+tp AS (SELECT track, id, 0 AS j, t, lat, lon, CASE WHEN head IS NULL THEN '{STUDY.default_mode}' WHEN n = 0 THEN coalesce(before, head) WHEN n = 1 THEN coalesce(before, l[1].mode) ELSE l[1].mode END AS mode FROM h
+  UNION ALL SELECT track, id, j, l[j].t, {_AT[0]}, {_AT[1]}, CASE WHEN n = 1 OR j < n THEN l[j].mode ELSE l[j - 1].mode END FROM (SELECT *, unnest(range(CASE WHEN n = 1 THEN 1 ELSE 2 END, n + 1)) AS j FROM h WHERE n > 0)),
+tc AS (SELECT track, t, lat, lon, mode FROM (SELECT *, lag(mode) OVER v AS was FROM tp WINDOW v AS (PARTITION BY track ORDER BY t, id, j)) WHERE was IS NULL OR was <> mode)"""
+_STAGES = f"""{_TRANSITIONS}, en AS (SELECT track, max(t) AS end_t FROM tr GROUP BY 1),
+sg AS (SELECT tc.track, row_number() OVER s - 1 AS stage, mode, t AS start_t, lead(t) OVER s AS nx, count(*) OVER (PARTITION BY tc.track) AS points, end_t FROM tc JOIN en ON en.track = tc.track WINDOW s AS (PARTITION BY tc.track ORDER BY t, mode)),
+sf AS (SELECT sg.track, stage, sg.mode, start_t, coalesce(nx, sg.end_t) AS end_t, nx, points FROM sg)"""
+_CONFIDENT = "SELECT sf.track, stage, sf.mode, start_t, end_t, coalesce(sum(p.prob::decimal(18,12))::double / nullif(count(p.prob), 0), 0) AS confidence FROM sf LEFT JOIN mo p ON p.track = sf.track AND p.mode = sf.mode AND p.t BETWEEN start_t AND end_t AND NOT isnan(p.prob)"
+
+
+@query(f"WITH {_TRANSITIONS} SELECT track, t, round(lat, 6) AS lat, round(lon, 6) AS lon, mode FROM tc")
 def transition_points(spark: SparkSession, folder: str) -> DataFrame:
     p = _points(spark, folder)
-    return p.select(F.col("track").cast("string").alias("track"), "t", R("lat").alias("lat"), R("lon").alias("lon"), "mode")
+    return p.select("track", "t", R("lat").alias("lat"), R("lon").alias("lon"), "mode")
+
+
+def _ends(tracks: DataFrame) -> DataFrame:
+    """Each track's last point."""
+    return tracks.groupBy("track").agg(F.max(F.struct("t", "id", "lat", "lon")).alias("e")).select("track", F.col("e.t").alias("end_t"), F.col("e.lat").alias("end_lat"), F.col("e.lon").alias("end_lon"))
 
 
 def _stages(spark: SparkSession, folder: str, keep_last: bool) -> DataFrame:
-    ends = day_tracks(spark, folder).groupBy("track").agg(F.max("t").alias("end_t"))
-    s = stages.stages(_points(spark, folder), ends, keep_last)
+    s = stages.stages(_points(spark, folder), _ends(day_tracks(spark, folder)), keep_last)
     s = stages.stage_confidence(s, mode_sequence(spark, folder))
-    return s.select(F.col("track").cast("string").alias("track"), "stage", "mode", "start_t", "end_t", R("confidence").alias("confidence"))
+    return s.select("track", "stage", "mode", "start_t", "end_t", "confidence")
 
 
-@query()
+@query(f"WITH {_STAGES} {_CONFIDENT} GROUP BY 1, 2, 3, 4, 5")
 def stages_all(spark: SparkSession, folder: str) -> DataFrame:
     return _stages(spark, folder, True)
 
 
-@query()
+@query(f"WITH {_STAGES} {_CONFIDENT} WHERE nx IS NOT NULL OR points = 1 GROUP BY 1, 2, 3, 4, 5")
 def stages_strict(spark: SparkSession, folder: str) -> DataFrame:
     return _stages(spark, folder, False)
 
 
-_TRIP_DAYS = "tp AS (SELECT cast(ts AS date) AS track, epoch_us(min(ts)) + 3600000000 AS a, epoch_us(max(ts)) - 3600000000 AS b FROM events GROUP BY 1)"
+@query(f"WITH {SQL_SENSOR}, {SQL_SPANS} SELECT trip_id, count(*)::bigint AS n, round(avg(sqrt(x * x + y * y + z * z)), 6) AS mean_norm FROM se JOIN sp ON se.user_id = u AND t > a AND t < b GROUP BY 1")
+def acc_in_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Accelerations strictly within each trip of their user, joined on user and hour."""
+    rows = sensor_rows(spark, folder).withColumn("user", F.substring_index("track", "/", 1))
+    x = trajectory.inside_spans(rows, stage_trips(spark, folder), ["user"])
+    return x.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"), R(F.avg(features.norm3("x", "y", "z"))).alias("mean_norm"))
+
 
+_BY_TRIP = "st AS (SELECT trip_id, stage_id, epoch_us(starttimestamp) AS s, epoch_us(coalesce(endtimestamp, starttimestamp)) AS e FROM predictedstage WHERE starttimestamp IS NOT NULL AND trip_id IS NOT NULL)"
 
-@query(f"WITH {SQL_SENSOR}, {_TRIP_DAYS} SELECT se.track::varchar AS track, count(*)::bigint AS n, round(avg(sqrt(x * x + y * y + z * z)), 6) AS mean_norm FROM se JOIN tp ON se.track = tp.track AND t > a AND t < b GROUP BY 1")
-def acc_in_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Accelerations strictly within each trip: an equi-join on the track with the interval as residual condition."""
-    s = sensor_rows(spark, folder)
-    trips = s.groupBy(F.col("track").alias("d")).agg((F.min("t") + 3_600_000_000).alias("a"), (F.max("t") - 3_600_000_000).alias("b"))
-    x = s.join(trips, (F.col("track") == F.col("d")) & (F.col("t") > F.col("a")) & (F.col("t") < F.col("b")))
-    return x.groupBy(F.col("track").cast("string").alias("track")).agg(F.count(F.lit(1)).alias("n"), R(F.avg(features.norm3("x", "y", "z"))).alias("mean_norm"))
+
+@query(
+    f"WITH {SQL_SENSOR}, {SQL_SPANS}, {_BY_TRIP}, sa AS (SELECT trip_id, min(t) AS lo, max(t) AS hi FROM se JOIN sp ON se.user_id = u AND t > a - 60000000 AND t < b + 60000000 GROUP BY 1), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY s, stage_id) AS i, count(*) OVER (PARTITION BY trip_id) AS c FROM st) "
+    "SELECT stage_id, CASE WHEN i = 1 THEN coalesce(lo, s) ELSE s END AS start_us, CASE WHEN i = c THEN coalesce(hi, e) ELSE e END AS end_us FROM n LEFT JOIN sa USING (trip_id)"
+)
+def boundary_widening(spark: SparkSession, folder: str) -> DataFrame:
+    """The first stage of a trip begins with the trip's samples, of a minute around it, and the last ends with them."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    s = table(spark, folder, "predictedstage").where("starttimestamp is not null and trip_id is not null").select(
+        "trip_id", "stage_id", us(F.col("starttimestamp")).alias("start_us"), us(F.coalesce("endtimestamp", "starttimestamp")).alias("end_us")
+    )
+    rows = sensor_rows(spark, folder).select(F.substring_index("track", "/", 1).alias("user"), "t")
+    spans = stage_trips(spark, folder).select("user", "trip_id", (F.col("a") - 60_000_000).alias("a"), (F.col("b") + 60_000_000).alias("b"))
+    x = trajectory.inside_spans(rows, spans, ["user"]).groupBy("trip_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    return stages.widen_ends(s, x).drop("trip_id")
 
 
-@query(f"WITH {SQL_MODES}, st AS (SELECT track, max(t) FILTER (WHERE mode = 'bus') AS a FROM mo GROUP BY 1), m AS (SELECT st.track, avg(prob) AS p FROM st LEFT JOIN mo ON mo.track = st.track AND mo.mode = 'bus' AND mo.t BETWEEN st.a - 7200000000 AND st.a GROUP BY 1) SELECT track::varchar AS track, round(coalesce(p, 0), 6) AS confidence FROM m")
+@query(
+    f"WITH {SQL_MODES}, st AS (SELECT track, id, mode, t AS a, coalesce(lead(t) OVER w, t + 3600000000) AS b FROM mo {SQL_W}) "
+    "SELECT st.id, coalesce(sum(p.prob::decimal(18,12))::double / nullif(count(p.prob), 0), 0) AS confidence FROM st LEFT JOIN mo p ON p.track = st.track AND p.mode = st.mode AND p.t BETWEEN st.a AND st.b AND NOT isnan(p.prob) GROUP BY st.id"
+)
 def stage_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean probability of every mode from each prediction of it to the next prediction, both ends included."""
     m = mode_sequence(spark, folder)
-    last = F.max(F.when(F.col("mode") == "bus", F.col("t")))
-    s = m.groupBy("track").agg(last.alias("end_t")).select("track", F.lit("bus").alias("mode"), (F.col("end_t") - 7_200_000_000).alias("start_t"), "end_t")
-    return stages.stage_confidence(s, m).select(F.col("track").cast("string").alias("track"), R("confidence").alias("confidence"))
+    until = F.coalesce(F.lead("t").over(trajectory.along()), F.col("t") + 3_600_000_000)
+    s = m.select("track", "id", "mode", F.col("t").alias("start_t"), until.alias("end_t"))
+    return stages.stage_confidence(s, m).select("id", "confidence")
 
 
 @query("WITH n AS (SELECT trip_id, count(*) AS k FROM predictedstage WHERE starttimestamp IS NOT NULL GROUP BY 1) SELECT t.trip_id, coalesce(p.label, 'car') AS mode, CASE WHEN n.k IS NULL THEN 0.1::double ELSE round(p.prob, 6) END AS prob, CASE WHEN n.k IS NULL THEN 'guessed' ELSE 'model' END AS source FROM trip t LEFT JOIN n ON n.trip_id = t.trip_id LEFT JOIN predictedstage p ON p.trip_id = t.trip_id AND p.starttimestamp IS NOT NULL")

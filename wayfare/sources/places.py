@@ -1,4 +1,4 @@
-"""Places as a dimension table, derived from suppliers, and lookups of them around points."""
+"""Places as a dimension table, derived from the ends of trips, and lookups of them around points."""
 
 from __future__ import annotations
 
@@ -15,17 +15,17 @@ UNKNOWN = "UNKNOWN_ADDRESS"
 
 
 def places(spark: SparkSession, folder: str) -> DataFrame:
-    """(poi_id, label, cls, lat, lon)."""
-    k = F.col("s_suppkey")
-    return table(spark, folder, "supplier").select(
-        k.alias("poi_id"), F.col("s_name").alias("label"), F.get(F.array(*map(F.lit, CLASSES)), (k % 3).cast("int")).alias("cls"),
-        (F.lit(46.0) + (k * 37 % 1000) * 1e-4).alias("lat"), (F.lit(11.0) + (k * 73 % 1000) * 1e-4).alias("lon"),
-    )
+    """(poi_id, label, cls, lat, lon): the addresses at which trips start, each once, under its smallest trip_id."""
+    at = F.split(F.translate("start_coordinate", "[]", ""), ",")
+    x = table(spark, folder, "trip").select("trip_id", F.col("start_address").alias("label"), F.get(at, 0).try_cast("double").alias("lat"), F.get(at, 1).try_cast("double").alias("lon"))
+    x = x.where("label is not null and lat is not null and lon is not null").groupBy("label", "lat", "lon").agg(F.min("trip_id").alias("poi_id"))
+    return x.select("poi_id", "label", F.get(F.array(*map(F.lit, CLASSES)), (F.col("poi_id") % 3).cast("int")).alias("cls"), "lat", "lon")
 
 
 SQL_PLACES = (
-    "po AS (SELECT s_suppkey AS poi_id, s_name AS label, CASE s_suppkey % 3 WHEN 0 THEN 'RailwayStation' WHEN 1 THEN 'BusStation' ELSE 'Shop' END AS cls, "
-    "46.0::double + (s_suppkey * 37 % 1000) * 1e-4::double AS lat, 11.0::double + (s_suppkey * 73 % 1000) * 1e-4::double AS lon FROM supplier)"
+    "po AS (SELECT poi_id, label, CASE poi_id % 3 WHEN 0 THEN 'RailwayStation' WHEN 1 THEN 'BusStation' ELSE 'Shop' END AS cls, lat, lon FROM (SELECT min(trip_id) AS poi_id, label, lat, lon FROM "
+    "(SELECT trip_id, start_address AS label, try_cast(string_split(translate(start_coordinate, '[]', ''), ',')[1] AS double) AS lat, try_cast(string_split(translate(start_coordinate, '[]', ''), ',')[2] AS double) AS lon FROM trip) "
+    "WHERE label IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL GROUP BY 2, 3, 4))"
 )
 
 
