@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -10,19 +12,24 @@ from wayfare.operators.features import haar
 from wayfare.operators.provenance import parse_model_info
 from wayfare.sources.places import nearby
 
-H = 3_600_000_000
 T = "track int, id long, t long, lat double, lon double"
 
 
-def test_no_movement(spark):
-    df = spark.createDataFrame([(0, 0, 1550000000000000, 12.34, 23.45), (0, 1, 1550000100000000, 12.34, 23.45)], T)
-    assert trajectory.mean_pair_speed(df, ["track"]).first()["kmh"] == 0
-
-
-def test_moving(spark):
-    lons = [23.45, 23.55, 23.75, 23.80, 23.90]
-    df = spark.createDataFrame([(0, k, 1550000000000000 + k * H, 12.34, x) for k, x in enumerate(lons)], T)
-    assert trajectory.mean_pair_speed(df, ["track"]).first()["kmh"] == pytest.approx(12.220418904)
+def test_mean_pair_speed(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for track in range(5):
+        t, lat, lon, speeds = 10**15, 40.0 + track, -8.0, []
+        for k in range(track * 3 + 1):
+            rows.append((track, k, t, lat, lon))
+            s, dlat = rng.randint(1, 900), rng.choice([0.0, 0.01, -0.02])
+            t, lat = t + s * 1_000_000, lat + dlat
+            speeds.append(6371.0 * np.radians(abs(dlat)) / s * 3600)
+        want[track] = np.mean(speeds[:-1]) if len(speeds) > 1 else None
+    got = {r["track"]: r["kmh"] for r in trajectory.mean_pair_speed(spark.createDataFrame(rows, T), ["track"]).collect()}
+    assert got[0] is None and all(got[k] == pytest.approx(want[k]) for k in range(1, 5))
+    same = spark.createDataFrame([(0, 0, 5, 40.0, 1.0), (0, 1, 90_000_000, 40.0, 1.0)], T)
+    assert trajectory.mean_pair_speed(same, ["track"]).first()["kmh"] == 0
 
 
 def test_window_trips_against_a_fold(spark):

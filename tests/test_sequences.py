@@ -7,9 +7,9 @@ import pytest
 
 import __spark_entry__ as entry
 from wayfare.operators import stages
+from wayfare.sources.tracks import day_tracks, mode_sequence
 
 FOLDER = "/root/testdata/sf0.001"
-MODES = {"error": "still", "click": "walk", "view": "car", "purchase": "bus", "signup": "bike"}
 
 
 def _project(trace, changes):
@@ -47,13 +47,14 @@ def test_projection_against_a_hop_by_hop_reading(spark):
     assert sorted((r["track"], r["t"], r["mode"]) for r in got) == sorted((track, t, mode) for track, _, t, mode in want)
 
 
-def _days():
-    e = pq.read_table(f"{FOLDER}/events.parquet", columns=["event_id", "ts", "event_type"])
-    rows = sorted(zip(e["ts"].cast("timestamp[us]").cast("int64").to_pylist(), e["event_id"].to_pylist(), e["event_type"].to_pylist()))
-    days = {}
-    for t, _, kind in rows:
-        days.setdefault(t // 86_400_000_000, []).append((t, MODES[kind]))
-    return days
+def _days(spark):
+    """(trace, predicted modes) of each track, in order."""
+    traces, modes_ = {}, {}
+    for r in sorted(day_tracks(spark, FOLDER).collect(), key=lambda r: (r["t"], r["id"])):
+        traces.setdefault(r["track"], []).append((r["t"],))
+    for r in sorted(mode_sequence(spark, FOLDER).collect(), key=lambda r: (r["t"], r["id"])):
+        modes_.setdefault(r["track"], []).append((r["t"], r["mode"]))
+    return {k: (v, modes_.get(k, [])) for k, v in traces.items()}
 
 
 def _cleaned(rows):
@@ -66,21 +67,21 @@ def _cleaned(rows):
 
 
 def test_transition_points_look_at_every_hop(spark):
-    want = [p for rows in _days().values() for p in _project(rows, _cleaned(rows))]
+    want = [(k, *p) for k, (trace, seen) in _days(spark).items() for p in _project(trace, _cleaned(seen))]
     got = entry.queries()["transition_points"](spark, FOLDER).collect()
-    assert sorted((r["t"], r["mode"]) for r in got) == sorted(want)
+    assert sorted((r["track"], r["t"], r["mode"]) for r in got) == sorted(want) and len({m for *_, m in want}) > 3
 
 
 @pytest.mark.parametrize("name", ["stages_all", "stages_strict"])
 def test_stages_reach_the_end_of_the_track(spark, name):
     want = set()
-    for rows in _days().values():
-        p = _project(rows, _cleaned(rows))
-        ends = [t for t, _ in p[1:]] + [rows[-1][0]]
-        spans = [(mode, a, b) for (a, mode), b in zip(p, ends)]
+    for track, (trace, seen) in _days(spark).items():
+        p = _project(trace, _cleaned(seen))
+        ends = [t for t, _ in p[1:]] + [trace[-1][0]]
+        spans = [(track, mode, a, b) for (a, mode), b in zip(p, ends)]
         want |= set(spans if name == "stages_all" or len(p) == 1 else spans[:-1])
     got = entry.queries()[name](spark, FOLDER).collect()
-    assert {(r["mode"], r["start_t"], r["end_t"]) for r in got} == want and len(got) == len(want)
+    assert {(r["track"], r["mode"], r["start_t"], r["end_t"]) for r in got} == want and len(got) == len(want)
 
 
 def test_haar_of_all_values_against_its_matrix_and_sql(spark):

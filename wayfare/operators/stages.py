@@ -66,9 +66,10 @@ def transition_points(trace: DataFrame, changes: DataFrame, default: str = "car"
 
 def stages(points: DataFrame, ends: DataFrame, keep_last: bool = True) -> DataFrame:
     """(track, stage, mode, start_t, end_t, lat, lon, end_lat, end_lon) between successive transition points; the last stage reaches to the end of
-    its track (``ends``: track, end_t, end_lat, end_lon), or is dropped with ``keep_last`` false where there are two or more points."""
+    its track (``ends``: track, end_t and, if known, end_lat, end_lon), or is dropped with ``keep_last`` false where there are two or more points."""
     w = Window.partitionBy("track").orderBy("t", "mode")
-    ends = ends.select("track", "end_t", F.struct("end_lat", "end_lon").alias("goal"))
+    where = [F.col(c) if c in ends.columns else F.lit(None).cast("double").alias(c) for c in ("end_lat", "end_lon")]
+    ends = ends.select("track", "end_t", F.struct(*where).alias("goal"))
     x = points.withColumns({"next": F.lead("t").over(w), "to": F.lead(F.struct(F.col("lat").alias("end_lat"), F.col("lon").alias("end_lon"))).over(w), "stage": F.row_number().over(w) - 1, "points": F.count(F.lit(1)).over(Window.partitionBy("track"))})
     x = x.join(ends, "track")
     if not keep_last:
