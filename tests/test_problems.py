@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfare.operators.chunked import with_neighbours, with_running_sums
 from wayfare.operators.grid import regular_grid
 from wayfare.operators.intervals import periods_and_gaps
-from wayfare.operators.mobility import segment_stops, stops_and_trips, usable_pings
+from wayfare.operators.mobility import longest_stops, stops_and_trips, usable_pings
 from wayfare.operators.spikes import hourly_fences, implausible_speeds, implausible_vectors
 
 MIN = 60_000_000
@@ -189,6 +189,6 @@ def test_stops_and_trips(spark):
 
 def test_segmentation_of_a_block():
     t = np.arange(30) * MIN
-    lat = np.where(np.arange(30) < 15, 45.0, 45.01)
-    assert segment_stops(t, lat, np.full(30, 11.0), 100.0, 10 * MIN) == [(0, 14), (15, 29)]
-    assert segment_stops(t[:5], lat[:5], np.full(5, 11.0), 100.0, 10 * MIN) == []
+    lat, lon = np.radians(np.where(np.arange(30) < 15, 45.0, 45.01)), np.radians(np.full(30, 11.0))
+    assert longest_stops(t, lat, lon, 0, 30, 100.0, 10 * MIN)[0] == [(0, 14), (15, 29)]
+    assert longest_stops(t, lat, lon, 0, 5, 100.0, 10 * MIN)[0] == []
