@@ -140,6 +140,19 @@ def encode_words(df: DataFrame, text: str, path: str | None = None) -> DataFrame
     return short.unionByName(long_.mapInArrow(run, "word string, n long, ids array<int>"))
 
 
+def encode_in_row(text: Column, path: str | None = None) -> Column:
+    """Ids of a text by folding its words where it stands, each distinct word of the text once: no word is moved. Null and
+    empty texts give the empty list. The README has its figures beside those of the other forms."""
+    table = _table({k.hex().upper(): v for k, v in ranks(path or tokenizer_file()).items()}, "int")
+    words = F.coalesce(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
+
+    def ids(w: Column) -> Column:
+        known = lambda d: F.transform(d, lambda x: fold_word(x, table))
+        return let(F.array_distinct(w), lambda d: let(known(d), lambda k: F.flatten(F.transform(w, lambda x: F.get(k, (F.array_position(d, x) - 1).cast("int"))))))
+
+    return let(words, ids)
+
+
 def decode_ids(ids: Column, path: str | None = None) -> Column:
     """The text of a list of ids: the binary pieces of the ids, looked up in a literal, concatenated. Null ids give
     null, the empty list the empty text, an id that is not in the vocabulary null."""

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of items that one broadcast block holds at most; more items are scanned for block by block.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
+#: Lengths that seeds are rounded down to, so that a document's windows are hashed for a few lengths only.
+SEED_LENGTHS = (1, 2, 3, 5, 7, 10, 14, 20, 28, 40, 56)
 #: Characters of text that are hashed at a time.
 SLICE_CHARS = 1_500_000
 
@@ -125,53 +127,69 @@ def reaches(a: list, b: list, most: int) -> list[int]:
     return best
 
 
-def seed_words(lengths: list[int], share: float, edits: float) -> int:
-    """How many successive words any sufficient passage must hold unchanged, by the pigeonhole principle."""
-    least = 64
-    for n in set(lengths):
-        for size in range(max(1, int(np.ceil(n * share))), n + 1):
-            k = int(size * edits)
-            least = min(least, -(-(size - k) // (k + 1)))
+def seed_words(length: int, share: float, edits: float) -> int:
+    """How many successive words any sufficient passage of an item of ``length`` words must hold unchanged, by the
+    pigeonhole principle."""
+    least = length
+    for size in range(max(1, int(np.ceil(length * share))), length + 1):
+        k = int(size * edits)
+        least = min(least, -(-(size - k) // (k + 1)))
     return max(1, least)
 
 
+class Seeds:
+    """The word windows of ``n`` words of the items whose seeds are so long, as sorted hashes with where each occurs."""
+
+    def __init__(self, n: int, hashes: dict[int, np.ndarray]):
+        self.n = n
+        grams = {key: gram_hashes(h, n) for key, h in hashes.items()}
+        every = np.concatenate([*grams.values(), np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.grams = every[order]
+        self.items = np.concatenate([np.full(len(g), key, np.int64) for key, g in grams.items()])[order]
+        self.places = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams.values()])[order]
+        self.sieve = np.zeros(1 << 22, dtype=bool)
+        self.sieve[(self.grams >> np.uint64(42)).astype(np.int64)] = True
+
+    def hits(self, words: np.ndarray, doc_of: np.ndarray) -> list[tuple[int, int, int]]:
+        """(place in the text, item, place in the item) of every window that is wholly in one document."""
+        grams = gram_hashes(words, self.n)
+        at = np.flatnonzero(self.sieve[(grams >> np.uint64(42)).astype(np.int64)])
+        at = at[doc_of[at] == doc_of[at + self.n - 1]]
+        lo, hi = np.searchsorted(self.grams, grams[at], side="left"), np.searchsorted(self.grams, grams[at], side="right")
+        return [(p, int(self.items[k]), int(self.places[k])) for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()) for k in range(a, b)]
+
+
 class Items:
-    """Test items of one block, ready for scanning: a hash set of their word windows, and where each occurs."""
+    """Test items of one block, ready for scanning: their words, and the hash sets of their windows by length of seed."""
 
     def __init__(self, items: list[tuple[int, str]], share: float, edits: float):
         self.share, self.edits = share, edits
         self.words: dict[int, list[bytes]] = {}
-        hashes = {}
+        by_length: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
         for key, text in items:
             data = np.frombuffer(normalised(text).encode(), dtype=np.uint8)
             start, end, h = word_hashes(data)
             raw = data.tobytes()
             if len(start):
-                self.words[key], hashes[key] = [raw[s:e] for s, e in zip(start.tolist(), end.tolist())], h
-        self.n = seed_words([len(w) for w in self.words.values()], share, edits)
-        self.where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for key, h in hashes.items():
-            for k, g in enumerate(gram_hashes(h, self.n).tolist()):
-                self.where[g].append((key, k))
-        self.grams = np.array(sorted(self.where), dtype=np.uint64)
-        self.sieve = np.zeros(1 << 22, dtype=bool)
-        self.sieve[(self.grams >> np.uint64(42)).astype(np.int64)] = True
-
-    def hits(self, words: np.ndarray) -> np.ndarray:
-        grams = gram_hashes(words, self.n)
-        maybe = np.flatnonzero(self.sieve[(grams >> np.uint64(42)).astype(np.int64)])
-        return maybe[np.isin(grams[maybe], self.grams)], grams
-
-    def passage(self, key: int, doc: list[bytes], seeds: list[tuple[int, int]]) -> tuple[int, int] | None:
-        """(words, edits) of a sufficient passage of item ``key`` in ``doc``, of which ``seeds`` are (place in item, in doc)."""
+                self.words[key] = [raw[s:e] for s, e in zip(start.tolist(), end.tolist())]
+                own = seed_words(len(start), share, edits)
+                by_length[max(n for n in SEED_LENGTHS if n <= own)][key] = h
+        self.seeds = [Seeds(n, hashes) for n, hashes in sorted(by_length.items())]
+
+    def passage(self, key: int, doc: list[bytes], seeds: list[tuple[int, int, int]]) -> tuple[int, int] | None:
+        """(words, edits) of a sufficient passage of item ``key`` in ``doc``, of which ``seeds`` are (place in item, in
+        doc, words) by their hashes. Seeds are compared word by word before they count."""
         item = self.words[key]
         most = int(len(item) * self.edits)
         runs: list[list[int]] = []
-        for i, p in sorted(seeds, key=lambda s: (s[1] - s[0], s[0])):
+        for i, p, n in sorted(seeds, key=lambda s: (s[1] - s[0], s[0])):
+            if item[i : i + n] != doc[p : p + n]:
+                continue
             if runs and runs[-1][1] - runs[-1][0] == p - i and i <= runs[-1][2]:
-                runs[-1][2] = i + self.n
+                runs[-1][2] = i + n
             else:
-                runs.append([i, p, i + self.n])
+                runs.append([i, p, i + n])
         for i, p, stop in sorted(runs, key=lambda r: r[0] - r[2]):
             size, reach = stop - i, len(item) + most
             left = reaches(item[:i][::-1], doc[max(0, p - reach) : p][::-1], most)
@@ -188,22 +206,18 @@ def scan(items: Items, ids: list, texts: list[str]) -> Iterator[tuple[int, int,
     joined = "\n".join(texts).encode()
     data = np.frombuffer(joined, dtype=np.uint8)
     start, end, h = word_hashes(data)
-    hits, grams = items.hits(h)
-    if not len(hits):
-        return
     ends = np.cumsum([len(t.encode()) + 1 for t in texts])
     doc_of = np.searchsorted(ends, start, side="right")
-    hits = hits[doc_of[hits] == doc_of[hits + items.n - 1]]
-    found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for p, g, d in zip(hits.tolist(), grams[hits].tolist(), doc_of[hits].tolist()):
-        for key, i in items.where[g]:
-            found[d, key].append((i, p))
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    for seeds in items.seeds:
+        for p, key, i in seeds.hits(h, doc_of):
+            found[int(doc_of[p]), key].append((i, p, seeds.n))
     for (d, key), seeds in found.items():
         margin = 2 * len(items.words[key]) + 8
         first, last = (int(x) for x in np.searchsorted(doc_of, [d, d + 1]))
-        lo, hi = max(first, min(p for _, p in seeds) - margin), min(last, max(p for _, p in seeds) + margin)
+        lo, hi = max(first, min(p for _, p, _ in seeds) - margin), min(last, max(p for _, p, _ in seeds) + margin)
         doc = [joined[s:e] for s, e in zip(start[lo:hi].tolist(), end[lo:hi].tolist())]
-        if hit := items.passage(key, doc, [(i, p - lo) for i, p in seeds]):
+        if hit := items.passage(key, doc, [(i, p - lo, n) for i, p, n in seeds]):
             yield key, ids[d], *hit
 
 
@@ -221,8 +235,8 @@ def leaked_items(
     """(item_id, doc_id, words, edits): documents that hold an unbroken passage of at least ``share`` of an item's
     words in order, at most ``edits`` of them changed, dropped or added; one row per pair.
 
-    The word windows of the items, as long as any sufficient passage must hold unchanged, are broadcast as a
-    hash set; each document's windows are looked up in it and every hit is verified by aligning actual words to
+    The word windows of each item, as long as any sufficient passage of it must hold unchanged (rounded down to one of
+    ``SEED_LENGTHS``), are broadcast as hash sets; each document's windows are looked up in it and every hit is verified by aligning actual words to
     both sides. Documents are scanned whole and never shuffled. Items come to the driver, as the query set, in
     blocks of at most ``BLOCK_WORDS`` words; each block is one scan. Null or empty documents and items without
     words match nothing; repeated documents are reported each.

@@ -16,6 +16,9 @@ GROUP_ROWS = 60_000
 #: Width of a time bucket; a group of rows of one entity never spans more.
 BUCKET_US = 600_000_000
 
+#: What the join of one group may use before it spills; a group of ``GROUP_ROWS`` rows needs a few MB.
+MEMORY = "512MB"
+
 _ASOF = """
     SELECT l.entity, l.at,
            CASE WHEN f.at IS NULL OR l.at - b.at <= f.at - l.at THEN b.rid ELSE f.rid END AS rid
@@ -64,7 +67,7 @@ def nearest_by_time(
     def join(_key: tuple, l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
         import duckdb
 
-        with duckdb.connect(config={"threads": 1, "temp_directory": ""}) as db:
+        with duckdb.connect(config={"threads": 1, "memory_limit": MEMORY}) as db:
             db.register("l", l)
             db.register("r", r)
             return db.sql(_ASOF, params={"tolerance": tolerance_us}).to_arrow_table()

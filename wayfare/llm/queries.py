@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.bpe import encode_texts
-from wayfare.llm.leakage import leaked_items
+from wayfare.llm.bpe import decode_ids, encode_texts, encode_words
+from wayfare.llm.leakage import leaked_items, without_leaks
 from wayfare.llm.nearest import nearest_by_time
 from wayfare.llm.pieces import split_documents
 from wayfare.llm.runs import collapse_runs
+from wayfare.plans.sqltext import SQL_LOCATIONS, SQL_SHAKES
 from wayfare.sources.tables import accelerations, locations, table
 
 
@@ -49,6 +50,17 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_words(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct words of all texts with their counts and the ids that folding their ranked merges gives."""
+    return encode_words(table(spark, folder, "documents"), "text")
+
+
+def p8_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, digest): every document encoded and decoded again, as the digest of the text that came out."""
+    ids = encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+    return ids.select("doc_id", F.md5(decode_ids(F.col("ids")).cast("binary")).alias("digest"))
+
+
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     documents, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return leaked_items(documents, items, "doc_id", "text", "item_id", "text", layout="notebook_format")
@@ -58,11 +70,16 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_leaks(spark, folder).select("item_id", "doc_id")
 
 
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that hold no passage of any test item."""
+    return without_leaks(table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars"), p9_leaks(spark, folder), "doc_id")
+
+
 def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_documents(table(spark, folder, "documents"), "doc_id", "text", layout="notebook_format")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p4_found, p4_runs, p8_ids, p9_found, p9_leaks, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p4_found, p4_runs, p8_ids, p8_words, p8_decode, p9_found, p9_leaks, p9_clean, p10_pieces)}
 
 _RUNS = """
 WITH k AS (
@@ -77,6 +94,12 @@ d AS (SELECT *, sum(CASE WHEN le IS NULL OR s > le + 120000000 THEN 1 ELSE 0 END
 """
 
 ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH {SQL_LOCATIONS}, {SQL_SHAKES}, l AS (SELECT event_id, user_id, instant_us AS t FROM loc WHERE instant_us IS NOT NULL AND user_id IS NOT NULL),
+r AS (SELECT user_id, instant_us AS t, min(event_id) AS rid FROM acc WHERE instant_us IS NOT NULL AND user_id IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT l.event_id, b.rid AS rid, l.t - b.t AS away, b.t FROM l ASOF JOIN r b ON b.user_id = l.user_id AND l.t >= b.t UNION ALL
+  SELECT l.event_id, f.rid, f.t - l.t, f.t FROM l ASOF JOIN r f ON f.user_id = l.user_id AND l.t <= f.t)
+SELECT event_id AS location_id, arg_min(rid, (away, t)) AS acc_id FROM p WHERE away <= 5000000 GROUP BY 1""",
+    "p8_decode": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
     "p4_found": _RUNS
     + """
 SELECT trip_id, arg_min(stage_id, (s, stage_id)) AS first_stage_id, arg_max(stage_id, (s, stage_id)) AS last_stage_id, count(*)::bigint AS n_stages
