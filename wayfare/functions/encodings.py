@@ -58,6 +58,53 @@ def colour(mode: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv]), mode)
 
 
+def hex_of(red: Column, green: Column, blue: Column) -> Column:
+    """A colour as ``#rrggbb``."""
+    return F.format_string("#%02x%02x%02x", red, green, blue)
+
+
+def plain_trace(trace: Column) -> Column:
+    """An array of (t, ..., lat, lon) structs without those that equal the one before."""
+    return F.filter(trace, lambda p, i: (i == 0) | ~F.get(trace, i - 1).eqNullSafe(p))
+
+
+def points_document(trace: Column, properties: Column) -> Column:
+    """A collection of one point feature per point of a trace; repeats in a row once."""
+    return collection(F.transform(plain_trace(trace), lambda p: point_feature(p["lat"], p["lon"], properties)))
+
+
+def line_document(trace: Column) -> Column:
+    """A collection of one line feature; repeats in a row once; its first and last time as properties."""
+    ends = F.format_string('{"timestamp-start":%d,"timestamp-end":%d}', F.get(trace, 0)["t"], F.get(trace, F.size(trace) - 1)["t"])
+    return collection(F.array(line_feature(plain_trace(trace), ends)))
+
+
+def document(trace: Column, form: str, properties: Column | None = None) -> Column:
+    """A trace as ``points`` or ``linestring``; any other form is an error."""
+    if form == "points":
+        return points_document(trace, F.lit("{}") if properties is None else properties)
+    if form == "linestring":
+        return line_document(trace)
+    raise ValueError(f"no such form: {form}")
+
+
+def trip_document(trace: Column) -> Column:
+    """A trip: its start marked s, its end marked e, and its line."""
+    mark = lambda p, sign: collection(F.array(point_feature(p["lat"], p["lon"], F.lit('{"marker-symbol":"' + sign + '"}'))))
+    return merged(mark(F.get(trace, 0), "s"), mark(F.get(trace, F.size(trace) - 1), "e"), line_document(trace))
+
+
+def coloured_document(stages: Column) -> Column:
+    """A trip in the colours of its modes: one line per stage of an array of (mode, trace)."""
+    style = lambda s: F.format_string('{"mode":"%s","stroke":"%s"}', s["mode"], F.coalesce(colour(s["mode"]), F.lit("#808080")))
+    return collection(F.transform(stages, lambda s: line_feature(plain_trace(s["trace"]), style(s))))
+
+
+def json_path(trace: Column) -> Column:
+    """``[[lon,lat],...]`` as a JSON array of numbers."""
+    return F.to_json(F.transform(trace, lambda p: F.array(p["lon"].cast("decimal(12,6)"), p["lat"].cast("decimal(12,6)"))))
+
+
 def hue_colours(n: int) -> list[str]:
     """``n`` distinct colours, spaced by the golden angle."""
     import colorsys

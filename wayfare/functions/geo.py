@@ -64,6 +64,12 @@ def velocity_change_rate(v1: Column, v2: Column) -> Column:
     return F.when(v1 == 0, F.lit(0.0)).otherwise((v2 - v1) / F.nullif(v1, F.lit(0.0)))
 
 
+def velocity_change_between(a: Column, b: Column, c: Column) -> Column:
+    """The relative change of speed at ``b`` on the way from ``a`` over ``b`` to ``c``, structs of t, lat and lon."""
+    leg = lambda p, q: speed_kmh(haversine_km(p["lat"], p["lon"], q["lat"], q["lon"]), seconds_between(p["t"], q["t"]))
+    return velocity_change_rate(leg(a, b), leg(b, c))
+
+
 def km_to_degrees(km: Column) -> Column:
     return _col(km) / KM_PER_DEGREE
 

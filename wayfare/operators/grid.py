@@ -41,7 +41,9 @@ def regular_grid(
     stretch = 86_400_000_000 // step_us or 1
     spans = (
         numbered.groupBy("source", "recording")
-        .agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
+        # Asking for the same columns as the join below lets both read one exchange.
+        .agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"), F.sum("readings").alias("n"), F.min("mean").alias("least"))
+        .where("n > 0 and least is not null")
         .select("source", "recording", "lo", "hi", F.explode(F.sequence(floor_div(F.col("lo"), stretch), floor_div(F.col("hi"), stretch))).alias("k"))
         .select("source", "recording", F.greatest("lo", F.col("k") * stretch).alias("lo"), F.least("hi", F.col("k") * stretch + stretch - 1).alias("hi"))
     )
@@ -56,7 +58,7 @@ def regular_grid(
             F.col("source").alias(source),
             "recording",
             "bucket",
-            F.coalesce("readings", F.lit(0)).alias("readings"),
+            F.when(F.col("mean").isNull(), 0).otherwise(F.col("readings")).alias("readings"),
             F.when(F.col("readings").isNotNull(), F.col("mean")).when(fits, F.col("seen.mean")).alias("value"),
             (F.col("readings").isNull() & fits).alias("filled"),
         )

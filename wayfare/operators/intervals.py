@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.operators.chunked import chunk_of, with_running_sums
+from wayfare.session import cut
 
 
 def periods_and_gaps(df: DataFrame, entity: str, start_us: str, stop_us: str, most_gap_us: int | None = None) -> DataFrame:
@@ -36,11 +37,13 @@ def periods_and_gaps(df: DataFrame, entity: str, start_us: str, stop_us: str, mo
         .agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
         .withColumn("chunk", chunk_of(F.col("at")))
     )
+    instants = cut(instants)  # each pass below reads it twice
     ranked = with_running_sums(instants, ["entity"], "chunk", ["at"], {"starts": F.col("s"), "ends": F.col("e")})
     # Open before an instant: starts minus ends so far, without this instant's own.
     opens = (F.col("starts") - F.col("s")) == (F.col("ends") - F.col("e"))
     closes = F.col("starts") == F.col("ends")
     edges = ranked.select("entity", "chunk", "at", opens.alias("opens"), closes.alias("closes")).where("opens or closes")
+    edges = cut(edges)
     numbered = with_running_sums(edges, ["entity"], "chunk", ["at"], {"no": F.col("opens").cast("long")})
     # The start of period k pairs with its end as period k, and with the end of k-1 as the gap before it.
     sides = numbered.select(

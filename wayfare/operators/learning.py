@@ -6,7 +6,7 @@ from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronCl
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.operators.features import haar
@@ -46,9 +46,23 @@ def logistic(iterations: int = 10, penalty: float = 0.01) -> LogisticRegression:
     return LogisticRegression(maxIter=iterations, regParam=penalty)
 
 
+def save(model: object, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> object:
+    from pyspark.ml.util import DefaultParamsReader
+
+    return DefaultParamsReader.loadParamsInstance(path, SparkSession.active().sparkContext)
+
+
 def perceptron_predictions(df: DataFrame, key: str, values: str, label: str, width: int = 64, iterations: int = ITERATIONS) -> DataFrame:
     """(key, label, prediction) of the held-out rows."""
     train, test = split(haar_vectors(df, key, values, label, width), key)
     classes = int(train.agg(F.max("label")).first()[0] or 0) + 1
-    model = perceptron(width, classes, iterations).fit(train.repartition(4).persist())
+    kept = train.persist()
+    try:
+        model = perceptron(width, classes, iterations).fit(kept)
+    finally:
+        kept.unpersist()
     return model.transform(test).select(key, F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))

@@ -86,3 +86,9 @@ def reciprocal_rank(labels: Column, truth: Column) -> Column:
     """1 over the position of the true label in a ranked list, 0 if it is not there."""
     at = F.array_position(labels, truth)
     return F.when(at > 0, F.lit(1.0) / F.nullif(at, F.lit(0))).otherwise(0.0)
+
+
+def mean_reciprocal_rank(df: DataFrame, labels: str, truth: str) -> DataFrame:
+    """(mrr): the mean reciprocal rank of the true labels; rows with a null list or truth are left out, null without rows."""
+    x = df.where(F.col(labels).isNotNull() & F.col(truth).isNotNull())
+    return x.agg(F.avg(reciprocal_rank(F.col(labels), F.col(truth))).alias("mrr"))

@@ -192,11 +192,13 @@ def implausible_vectors(
 
 
 def implausible_speeds(
-    df: DataFrame, source: str, at_us: str, row_id: str, speed: str, most: float = 100.0, times: float = 3.0, q: float = 0.9, least_held: int = 8
+    df: DataFrame, source: str, at_us: str, row_id: str, speed: str, most: float = 100.0, times: float = 3.0, q: float = 0.9, least_held: int = 8, timed: DataFrame | None = None
 ) -> DataFrame:
     """(row_id): rows whose speed is below 0 or above ``most``, above ``times`` the ``q`` quantile of the source's
-    speeds above 0 and at most ``most``, or one of ``least_held`` successive equal non-zero speeds. NaN counts as null."""
-    clean = df.withColumn(speed, F.when(~F.isnan(F.col(speed).cast("double")), F.col(speed)))
+    speeds above 0 and at most ``most``, or one of ``least_held`` successive equal non-zero speeds. NaN counts as null.
+    Only held speeds need the time: where that is costly to read, give the rows with it as ``timed`` and ``df`` without."""
+    without_nan = lambda x: x.withColumn(speed, F.when(~F.isnan(F.col(speed).cast("double")), F.col(speed)))
+    clean = without_nan(df)
     moving = clean.where((F.col(speed) > 0) & (F.col(speed) <= most))
     rows, keys = _axes(moving, source, [speed], most), ["source"]
     top = quantile_in(rows, keys, "value", bracket(histogram(rows, keys, "value"), keys, "lo", "hi", q), q, "top")
@@ -204,7 +206,7 @@ def implausible_speeds(
     judged = _with_statistics(clean, source, top)
     x = F.col(speed).cast("double")
     flag = (x < 0) | (x > most) | F.coalesce(x > F.col("limit"), F.lit(False))
-    held = held_rows(clean, source, at_us, row_id, [speed], least_held, skip=0.0)
+    held = held_rows(clean if timed is None else without_nan(timed), source, at_us, row_id, [speed], least_held, skip=0.0)
     return judged.where(flag).select(row_id).unionByName(held).distinct()
 
 
@@ -219,3 +221,42 @@ def hourly_fences(df: DataFrame, source: str, at_us: str, value: str, times: flo
     )
     reach = (F.col("q")[1] - F.col("q")[0]) * times
     return sketch.select(F.col("source").alias(source), "hour", "n", (F.col("q")[0] - reach).alias("lo"), (F.col("q")[1] + reach).alias("hi"))
+
+
+def context_flags(
+    df: DataFrame, source: str, at_us: str, row_id: str, values: list[str], times: float = 3.0, rate_times: float = 10.0, still: int = 20, accuracy: int = 1000
+) -> DataFrame:
+    """(row_id, axis, reason): readings that are implausible beside what is usual for their source at their hour of day.
+
+    Reason 'fence': outside the quartiles widened by ``times`` the distance between them; 'rate': the change per second
+    from the source's reading before is beyond the upper quartile of such changes by more than ``rate_times`` their
+    distance; 'still': the last of ``still`` successive readings without any variance. Quartiles are of all readings of a
+    (source, UTC hour of day, axis), from quantile sketches that merge across partitions. Readings in order of time, then
+    id, are compared within a UTC day. Null and NaN readings, sources and times are left out; an axis that never varies in
+    an hour has fences of no width and flags what differs. A reading has a row for each reason.
+    """
+    rows = df.where(F.col(source).isNotNull() & F.col(at_us).isNotNull()).select(F.col(source).alias("source"), F.col(at_us).alias("at"), F.col(row_id).alias("id"), *[F.col(v).cast("double").alias(f"v{k}") for k, v in enumerate(values)])
+    near = Window.partitionBy("source", "chunk").orderBy("at", "id")
+    last = near.rowsBetween(1 - still, 0)
+    rows = rows.withColumn("chunk", chunk_of(F.col("at"))).withColumn("was", F.lag("at").over(near))
+    flat = {}
+    for k in range(len(values)):
+        v = f"v{k}"
+        seconds = F.nullif((F.col("at") - F.col("was")) / 1e6, F.lit(0.0))
+        flat[f"r{k}"] = F.abs(F.col(v) - F.lag(v).over(near)) / seconds
+        flat[f"s{k}"] = (F.count(v).over(last) == still) & (F.max(v).over(last) == F.min(v).over(last))
+    rows = rows.withColumns(flat)
+    hour = F.pmod(F.floor(F.col("at") / F.lit(3_600_000_000)), F.lit(24)).cast("int")
+    axes = F.array(*[F.struct(F.lit(name).alias("axis"), F.col(f"v{k}").alias("v"), F.col(f"r{k}").alias("rate"), F.col(f"s{k}").alias("still")) for k, name in enumerate(values)])
+    long_ = rows.select("source", hour.alias("hour"), "id", F.inline(axes)).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    keys = ["source", "hour", "axis"]
+    usual = long_.groupBy(*keys).agg(F.percentile_approx("v", [0.25, 0.75], accuracy).alias("q"), F.percentile_approx("rate", [0.25, 0.75], accuracy).alias("p"))
+    wide = (F.col("q")[1] - F.col("q")[0]) * times
+    usual = usual.select(*keys, (F.col("q")[0] - wide).alias("lo"), (F.col("q")[1] + wide).alias("hi"), (F.col("p")[1] + (F.col("p")[1] - F.col("p")[0]) * rate_times).alias("most"))
+    found = long_.join(usual, keys).select(
+        F.col("id").alias(row_id), "axis",
+        F.explode(F.array_compact(F.array(
+            F.when((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")), "fence"), F.when(F.col("rate") > F.col("most"), "rate"), F.when(F.col("still"), "still")
+        ))).alias("reason"),
+    )
+    return found

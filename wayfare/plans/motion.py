@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wayfare.functions import geo
-from wayfare.operators import clusters, trajectory
+from wayfare.operators import clusters, trajectory, trips
 from wayfare.plans.registry import query
 from wayfare.settings import STUDY
 from wayfare.sources.tables import table
@@ -200,28 +199,22 @@ def tdbscan_expanding_stops(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def cluster_trips(spark: SparkSession, folder: str) -> DataFrame:
     d = day_tracks(spark, folder)
-    t = clusters.trips_between_stops(d, clusters.stop_points(d, **STOP))
+    t = clusters.trips_between_stops(d, trips.find_stops(d), STUDY.least_kmh)
     return t.withColumn("kmh", R("kmh"))
 
 
 @query()
 def extract_trips(spark: SparkSession, folder: str) -> DataFrame:
-    """Outliers removed; tracks of at least 300 points by clusters, others by windows; a track without trips by the
-    other way; trips less than 5 minutes apart joined."""
-    d = day_tracks(spark, folder)
-    d = trajectory.without(d, trajectory.outliers(d))
-    by_stop = clusters.trips_between_stops(d, clusters.stop_points(d, **STOP)).select("track", "start_id", "end_id", F.lit("cluster").alias("how"))
-    by_window = trajectory.window_trips(d, **TRIP, noise=STUDY.noise, least=STUDY.least_points).select("track", "start_id", "end_id", F.lit("window").alias("how"))
-    large = d.groupBy("track").agg((F.count(F.lit(1)) >= 300).alias("large"))
-    both = by_stop.unionByName(by_window).join(large, "track")
-    w = Window.partitionBy("track")
-    wanted = F.col("large") == (F.col("how") == "cluster")
-    both = both.withColumn("any", F.max(wanted.cast("int")).over(w)).where(wanted | (F.col("any") == 0))
-    at = d.select(F.col("id").alias("start_id"), F.col("t").alias("start_t"))
-    to = d.select(F.col("id").alias("end_id"), F.col("t").alias("end_t"))
-    timed = both.join(at, "start_id").join(to, "end_id")
-    m = trajectory.merge_intervals_within(timed, "track", "start_t", "end_t", 300_000_000)
-    return m.select("track", "start_t", "end_t", F.col("n").alias("parts"))
+    """Trips of all tracks: outliers out, gaps split, by stops or by windows, joined where less than five minutes apart."""
+    e = trips.trip_ends(trips.extract_trips(day_tracks(spark, folder)))
+    return e.select("track", "trip", "how", "n", "start_id", "end_id", "start_t", "end_t")
+
+
+@query()
+def extract_trips_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The variant that looks for stops in the whole track first, without a gap split."""
+    e = trips.trip_ends(trips.merged_by_track(day_tracks(spark, folder)))
+    return e.select("track", "trip", "how", "n", "start_id", "end_id", "start_t", "end_t")
 
 
 _EDGES = """{tracks}, ed AS (SELECT a.track, a.id, b.id AS id2 FROM tr a JOIN tr b ON a.track = b.track AND abs(a.lat - b.lat) < {deg} AND {km} <= {eps}{time}),

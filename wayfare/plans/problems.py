@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfare.operators.grid import regular_grid
 from wayfare.operators.intervals import periods_and_gaps
 from wayfare.operators.mobility import stops_and_trips, usable_pings
-from wayfare.operators.spikes import hourly_fences, implausible_speeds, implausible_vectors
+from wayfare.operators.spikes import context_flags, hourly_fences, implausible_speeds, implausible_vectors
 from wayfare.operators.zones import estimate_zones, normalise_instants
 from wayfare.functions.timestamps import read_instants
 from wayfare.plans.sqltext import SQL_LOCATIONS, SQL_SHAKES, SQL_TRIPS
@@ -53,14 +53,29 @@ def p3_zones(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     shaken = implausible_vectors(accelerations(spark, folder), "user_id", "instant_us", "event_id", ["x", "y", "z"])
-    fast = implausible_speeds(locations(spark, folder), "user_id", "instant_us", "event_id", "speed")
+    fast = implausible_speeds(table(spark, folder, "locationeventpertime"), "user_id", "instant_us", "event_id", "speed", timed=locations(spark, folder))
     return shaken.select(F.lit("accelerometerevent").alias("source_table"), "event_id").unionByName(
         fast.select(F.lit("locationeventpertime").alias("source_table"), "event_id")
     )
 
 
 def p5_fences(spark: SparkSession, folder: str) -> DataFrame:
-    return hourly_fences(accelerations(spark, folder), "user_id", "instant_us", "x")
+    """The interquartile fences of every user, hour of day and axis of the accelerations, and of the speeds."""
+    a, p = accelerations(spark, folder), locations(spark, folder)
+    parts = [hourly_fences(a, "user_id", "instant_us", c).withColumn("axis", F.lit(c)) for c in "xyz"]
+    parts.append(hourly_fences(p, "user_id", "instant_us", "speed").withColumn("axis", F.lit("speed")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def p5_context(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_table, event_id, axis, reason): readings beyond their user's fences at their hour of day, that change too
+    fast, or without variance."""
+    shaken = context_flags(accelerations(spark, folder), "user_id", "instant_us", "event_id", ["x", "y", "z"])
+    moved = context_flags(locations(spark, folder), "user_id", "instant_us", "event_id", ["speed"])
+    return shaken.select(F.lit("accelerometerevent").alias("source_table"), "*").unionByName(moved.select(F.lit("locationeventpertime").alias("source_table"), "*"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +92,7 @@ def p7_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_mobility, p3_found, p3_zones, p5_found, p5_fences, p6_found, p7_found, p7_grid)
+    f.__name__: f for f in (p2_found, p2_mobility, p3_found, p3_zones, p5_found, p5_fences, p5_context, p6_found, p7_found, p7_grid)
 }
 
 _HELD = """SELECT {id} FROM (SELECT *, count(*) OVER (PARTITION BY {u}, run) AS len FROM (SELECT *, sum(fresh) OVER (PARTITION BY {u} ORDER BY instant_us, {id} ROWS UNBOUNDED PRECEDING) AS run FROM

@@ -103,7 +103,7 @@ h AS (SELECT pr.*, l, coalesce(len(l), 0) AS n, b.mode AS before, c0.mode AS hea
 tp AS (SELECT track, id, 0 AS j, t, lat, lon, CASE WHEN head IS NULL THEN '{STUDY.default_mode}' WHEN n = 0 THEN coalesce(before, head) WHEN n = 1 THEN coalesce(before, l[1].mode) ELSE l[1].mode END AS mode FROM h
   UNION ALL SELECT track, id, j, l[j].t, {_AT[0]}, {_AT[1]}, CASE WHEN n = 1 OR j < n THEN l[j].mode ELSE l[j - 1].mode END FROM (SELECT *, unnest(range(CASE WHEN n = 1 THEN 1 ELSE 2 END, n + 1)) AS j FROM h WHERE n > 0)),
 tc AS (SELECT track, t, lat, lon, mode FROM (SELECT *, lag(mode) OVER v AS was FROM tp WINDOW v AS (PARTITION BY track ORDER BY t, id, j)) WHERE was IS NULL OR was <> mode)"""
-_STAGES = f"""{_TRANSITIONS}, en AS (SELECT track, max(t) AS end_t FROM tr GROUP BY 1),
+SQL_STAGES = f"""{_TRANSITIONS}, en AS (SELECT track, max(t) AS end_t FROM tr GROUP BY 1),
 sg AS (SELECT tc.track, row_number() OVER s - 1 AS stage, mode, t AS start_t, lead(t) OVER s AS nx, count(*) OVER (PARTITION BY tc.track) AS points, end_t FROM tc JOIN en ON en.track = tc.track WINDOW s AS (PARTITION BY tc.track ORDER BY t, mode)),
 sf AS (SELECT sg.track, stage, sg.mode, start_t, coalesce(nx, sg.end_t) AS end_t, nx, points FROM sg)"""
 _CONFIDENT = "SELECT sf.track, stage, sf.mode, start_t, end_t, coalesce(sum(p.prob::decimal(18,12))::double / nullif(count(p.prob), 0), 0) AS confidence FROM sf LEFT JOIN mo p ON p.track = sf.track AND p.mode = sf.mode AND p.t BETWEEN start_t AND end_t AND NOT isnan(p.prob)"
@@ -126,12 +126,12 @@ def _stages(spark: SparkSession, folder: str, keep_last: bool) -> DataFrame:
     return s.select("track", "stage", "mode", "start_t", "end_t", "confidence")
 
 
-@query(f"WITH {_STAGES} {_CONFIDENT} GROUP BY 1, 2, 3, 4, 5")
+@query(f"WITH {SQL_STAGES} {_CONFIDENT} GROUP BY 1, 2, 3, 4, 5")
 def stages_all(spark: SparkSession, folder: str) -> DataFrame:
     return _stages(spark, folder, True)
 
 
-@query(f"WITH {_STAGES} {_CONFIDENT} WHERE nx IS NOT NULL OR points = 1 GROUP BY 1, 2, 3, 4, 5")
+@query(f"WITH {SQL_STAGES} {_CONFIDENT} WHERE nx IS NOT NULL OR points = 1 GROUP BY 1, 2, 3, 4, 5")
 def stages_strict(spark: SparkSession, folder: str) -> DataFrame:
     return _stages(spark, folder, False)
 

@@ -19,6 +19,8 @@ class Study:
     default_mode: str = "car"
     vote_rows: int = 2
     vote_rounds: int = 3
+    clean_rows: int = 100
+    clean_rounds: int = 3
     name: str = "study"
     window: dict = field(default_factory=lambda: {"window_s": 300, "step_s": 60, "threshold_km": 0.25})
     stop: dict = field(default_factory=lambda: {"ceps": 0.3, "eps": 0.1, "least": 10})

@@ -47,6 +47,28 @@ def write_documents(df: DataFrame, path: str, text: str, partition: str | None =
     (writer.partitionBy(partition) if partition else writer).text(path)
 
 
+def write_window_stats(stats: DataFrame, path: str) -> None:
+    """Tab-separated statistics of tumbling windows, see ``trajectory.tumbling_stats``."""
+    # The names of the columns.
+    names = {"win": "window_start", "n": "#entries", "first_id": "first_entry", "last_id": "last_entry", "degrees": "l2-norm", "km": "distance_start_end(km)", "path_km": "distance_sum(km)", "kmh": "avg. km/h"}
+    write_delimited(stats.select(*[F.col(a).alias(b) for a, b in names.items()]), path, list(names.values()), "\t")
+
+
+def export_positions(rows: DataFrame, path: str, altitude: bool = True) -> None:
+    """Positions of a scan: timestamp, latitude, longitude, altitude, or timestamp, longitude, latitude."""
+    x = rows.select("timestamp", "point.latitude", "point.longitude", "point.altitude")
+    write_delimited(x, path, ["timestamp", "latitude", "longitude", "altitude"] if altitude else ["timestamp", "longitude", "latitude"])
+
+
+def export_accelerations(rows: DataFrame, path: str) -> None:
+    write_delimited(rows, path, ["timestamp", "x", "y", "z"])
+
+
+def write_day(trips: DataFrame, path: str) -> None:
+    """Each track's points and each trip's, as one line per trip (track, trip, geojson), in a folder per track."""
+    write_documents(trips, path, "geojson", "track")
+
+
 def append_rows(df: DataFrame, target: str, table: str, properties: dict[str, str] | None = None) -> None:
     """Append to a JDBC table if ``target`` is a JDBC address, else to a Parquet folder of the table's name."""
     if target.startswith("jdbc:"):
@@ -55,18 +77,22 @@ def append_rows(df: DataFrame, target: str, table: str, properties: dict[str, st
         df.write.mode("append").parquet(f"{target}/{table}")
 
 
-def gpx(trace: DataFrame, group: str) -> DataFrame:
-    """(group, gpx): one GPX route per group of (t, lat, lon) rows, in order of time."""
-    g = trace.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("t", "lat", "lon"))).alias("p"))
-    point = lambda p: F.concat(F.format_string('<rtept lat="%.6f" lon="%.6f"><time>', p["lat"], p["lon"]), F.date_format(F.timestamp_micros(p["t"]), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("</time></rtept>"))
-    head = '<?xml version="1.0" encoding="UTF-8"?><gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1" creator="wayfare"><rte>'
-    return g.select(group, F.concat(F.lit(head), F.array_join(F.transform("p", point), ""), F.lit("</rte></gpx>")).alias("gpx"))
+def gpx(trace: DataFrame, group: str, segment: str | None = None) -> DataFrame:
+    """(group, gpx): one GPX track per group of (t, lat, lon) rows in order of time, in segments by ``segment`` if given."""
+    x = trace.withColumn("__s", F.col(segment) if segment else F.lit(0))
+    parts = x.groupBy(group, "__s").agg(F.sort_array(F.collect_list(F.struct("t", "lat", "lon"))).alias("p"))
+    point = lambda p: F.concat(F.format_string('<trkpt lat="%.6f" lon="%.6f"><time>', p["lat"], p["lon"]), F.date_format(F.timestamp_micros(p["t"]), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("</time></trkpt>"))
+    parts = parts.select(group, F.struct("__s", F.concat(F.lit("<trkseg>"), F.array_join(F.transform("p", point), ""), F.lit("</trkseg>")).alias("x")).alias("part"))
+    head = '<?xml version="1.0" encoding="UTF-8"?><gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1" creator="wayfare"><trk>'
+    g = parts.groupBy(group).agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return g.select(group, F.concat(F.lit(head), F.array_join(F.transform("parts", lambda s: s["x"]), ""), F.lit("</trk></gpx>")).alias("gpx"))
 
 
 def read_gpx(df: DataFrame, text: str) -> DataFrame:
-    """Adds pos, lat, lon: the points of each document's first route, without times; documents without one give no rows."""
-    route = F.regexp_extract(text, r"(?s)<rte>(.*?)</rte>", 1)
-    points = F.regexp_extract_all(route, F.lit(r"<rtept\s[^>]*>"), F.lit(0))
+    """Adds pos, lat, lon: the points of each document's first route, or else of its first track, without times; documents
+    without either give no rows."""
+    route = F.concat(F.regexp_extract(text, r"(?s)<rte>(.*?)</rte>", 1), F.when(~F.contains(F.col(text), F.lit("<rte>")), F.regexp_extract(text, r"(?s)<trk>(.*?)</trk>", 1)).otherwise(""))
+    points = F.regexp_extract_all(route, F.lit(r"<(?:rte|trk)pt\s[^>]*>"), F.lit(0))
     number = lambda name: F.nullif(F.regexp_extract("point", rf'\b{name}="([-+0-9.eE]+)"', 1), F.lit("")).cast("double")
     x = df.select("*", F.posexplode(points).alias("pos", "point"))
     return x.withColumns({"lat": number("lat"), "lon": number("lon")}).drop("point")
