@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfare.operators.chunked import chunk_of
-from wayfare.session import cut
 
 
 def label_key(label: Column) -> Column:
@@ -42,7 +41,7 @@ def collapse_runs(
     changed = F.coalesce(F.col("prev.key") != F.col("key"), F.lit(True))
     # Stretches of one label within the day; 0 is the stretch that may go on from the day before.
     rows = rows.withColumn("stretch", F.sum((changed & (F.col("rn") > 1)).cast("int")).over(back))
-    rows = cut(rows)
+    # Both uses of these rows read one exchange by (sequence, day), and no window or join below moves them again.
     # Per day: its first label, its last label with the latest end under it, and its number of rows.
     last = F.struct("rn", "key", "ev", "stretch")
     ends = rows.groupBy("seq", "chunk", "stretch").agg(F.max("e").alias("e"), F.min(F.struct("rn", "key")).alias("head"), F.max(last).alias("tail"))
