@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfare.functions.timestamps import compact_utc_us, read_instants
-from wayfare.operators.zones import estimate_zones, normalise_instants
+from wayfare.operators.zones import estimate_zones, instants_beside, normalise_instants
 
 
 def us(*parts, micro=0):
@@ -81,3 +81,38 @@ def test_zone_estimate_uses_the_offset_history(spark):
     assert sorted(r["at"] for r in out) == sorted(us(r[3].year, r[3].month, r[3].day, r[3].hour) for r in rows)
     none = spark.createDataFrame([], "u string, w long, i long")
     assert estimate_zones(none, "u", "w", "i").count() == 0
+
+
+def _ingested(spark, zone, n=60, late=0):
+    from zoneinfo import ZoneInfo
+
+    rows = []
+    for k in range(n):
+        at = datetime(2018, 1 + k % 12, 10 + k % 9, 3 + k % 15, tzinfo=timezone.utc)
+        wall = at.astimezone(ZoneInfo(zone)).replace(tzinfo=timezone.utc)
+        delay = 7_200_000_000 if k < late else (k % 10) * 1_000_000
+        rows.append((zone, int(wall.timestamp()) * 1_000_000, int(at.timestamp()) * 1_000_000 + delay))
+    return rows
+
+
+def test_zones_of_any_offset_history(spark):
+    zones = ["Asia/Kathmandu", "Pacific/Auckland", "Australia/Adelaide", "Europe/Rome", "America/New_York"]
+    rows = [r for z in zones for r in _ingested(spark, z, late=5)]
+    rows += [("wild", k * 10**12, 10**15 + k * 977 * 10**9) for k in range(30)] + [(None, 1, 2), ("x", None, 2), ("x", 1, None)]
+    got = {r["s"]: r for r in estimate_zones(spark.createDataFrame(rows, "s string, w long, i long"), "s", "w", "i").collect()}
+    assert {z: got[z]["zone"] for z in zones} == {z: z for z in zones}
+    assert all(got[z]["violations"] == 5 and got[z]["rows"] == 60 for z in zones)
+    assert got["wild"]["zone"] is None and set(got) == {*zones, "wild"}
+    assert estimate_zones(spark.createDataFrame([], "s string, w long, i long"), "s", "w", "i").count() == 0
+
+
+def test_instants_beside(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, 50), ("a", 3, None), ("a", 250_000, None), ("b", 2, None)], "s string, k long, t long")
+    assert {(r["s"], r["k"]): r["near"] for r in instants_beside(df, "s", "k", "t", "near").collect()} == {("a", 1): 50, ("a", 2): 50, ("a", 3): 50, ("a", 250_000): None, ("b", 2): None}
+
+
+def test_filters_on_the_instant_do_not_repeat_the_reading(spark):
+    df = spark.createDataFrame([("2018-01-01T00:00:00Z", "UTC")], "text string, zone string")
+    read = read_instants(df, "text", "out", "zone")
+    count = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+    assert count(read) == count(read.where("out is not null and out > 5")) > 0

@@ -38,10 +38,18 @@ def collection(features: Column) -> Column:
     return F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(features, ","), F.lit("]}"))
 
 
+_HEAD, _TAIL = '{"type":"FeatureCollection","features":[', "]}"
+
+
 def merged(*collections: Column) -> Column:
-    """One FeatureCollection of the features of several."""
-    inner = [F.nullif(F.regexp_extract(c, r'(?s)^\{"type":"FeatureCollection","features":\[(.*)\]\}$', 1), F.lit("")) for c in collections]
-    return F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", *inner), F.lit("]}"))
+    """One FeatureCollection of the features of several, taken out between its fixed head and tail; other texts, and
+    collections without features, add none."""
+
+    def inner(c: Column) -> Column:
+        own = F.startswith(c, F.lit(_HEAD)) & F.endswith(c, F.lit(_TAIL))
+        return F.nullif(F.when(own, F.substr(c, F.lit(len(_HEAD) + 1), F.length(c) - len(_HEAD) - len(_TAIL))), F.lit(""))
+
+    return F.concat(F.lit(_HEAD), F.concat_ws(",", *map(inner, collections)), F.lit(_TAIL))
 
 
 def sample(key: Column, t_ms: Column, lat: Column, lon: Column) -> Column:

@@ -8,19 +8,45 @@ violations wins.
 
 from __future__ import annotations
 
+import re
+import zoneinfo
 from collections.abc import Sequence
+from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wayfare.functions.columns import scratch
+from wayfare.functions.columns import floor_div, scratch
 from wayfare.functions.timestamps import known_zone, read_instants, wall_to_utc_us
+from wayfare.session import cut
 
-#: Offset histories tried for a source whose zone is missing; one per region that differs in offsets or changes.
-CANDIDATE_ZONES = (
-    "Europe/London", "Europe/Rome", "Europe/Athens", "Europe/Moscow", "America/New_York", "America/Chicago",
-    "America/Denver", "America/Los_Angeles", "America/Sao_Paulo", "Asia/Kolkata", "Asia/Shanghai", "Asia/Tokyo",
-    "Australia/Sydney", "UTC",
+#: Quarters of an hour: all offsets of zones since 1972 but Liberia's and Guyana's are whole numbers of them.
+GRID_US = 900_000_000
+DAY_US = 86_400_000_000
+#: How many offset histories of a source are looked at row by row.
+FINALISTS = 5
+#: Share of a source's rows that may speak against its best history before it gets none.
+MOST_VIOLATIONS = 0.4
+
+
+@lru_cache(maxsize=4)
+def offset_histories(first_day: int, last_day: int) -> tuple[tuple[str, tuple[tuple[int, int], ...]], ...]:
+    """(zone, ((from_day, offset_us), ...)) for each distinct offset history from one day since 1970 to another, of all
+    zones of continents and oceans and UTC (Antarctica keeps the time of others), under the first of their names; an offset holds from a day's noon on."""
+    found: dict[tuple, str] = {}
+    for name in ["UTC", *sorted(z for z in zoneinfo.available_timezones() if re.match(r"(Africa|America|Asia|Atlantic|Australia|Europe|Indian|Pacific)/", z))]:
+        _, steps = _history(name, first_day, last_day)
+        if steps not in found or name in PREFERRED:
+            found[steps] = name
+    return tuple((name, steps) for steps, name in found.items())
+
+
+# The names under which common histories are given.
+PREFERRED = (
+    "Europe/London", "Europe/Rome", "Europe/Athens", "Europe/Moscow", "America/New_York", "America/Chicago", "America/Denver",
+    "America/Los_Angeles", "America/Sao_Paulo", "Asia/Kolkata", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney", "UTC",
 )
 
 
@@ -29,38 +55,72 @@ def estimate_zones(
     source: str,
     wall: str,
     ingested_us: str,
-    candidates: Sequence[str] = CANDIDATE_ZONES,
+    candidates: Sequence[str] | None = None,
     early_us: int = 1_000_000,
     late_us: int = 20 * 60_000_000,
 ) -> DataFrame:
     """One row per source: (source, zone, violations BIGINT, rows BIGINT).
 
-    ``wall`` is a zoneless wall clock time in microseconds, ``ingested_us`` the ingestion instant.
-    A row violates a candidate history if the instant it implies lies more than ``early_us`` after
-    ingestion (counted fully, it is impossible) or more than ``late_us`` before it (counted as half,
-    as late arrivals happen). Ties go to the history with the least total delay, then the name.
-    Rows with a null wall clock or ingestion are left out; a source without any row gets none.
-    Work: one map-side combined aggregate of 2 numbers per source and candidate; no row is moved.
+    ``wall`` is a zoneless wall clock time in microseconds, ``ingested_us`` the ingestion instant. The two together tell
+    which offsets of whole quarters of an hour a row allows. Rows are counted per source, day and allowed offset, with
+    map-side combining; the counts meet the offset histories of all zones on (day, offset), and the ``FINALISTS`` that
+    most rows allow are then looked at row by row: a row violates a history if the instant it implies lies more than
+    ``early_us`` after ingestion (counted twice, it is impossible) or more than ``late_us`` before it (counted once, as late
+    arrivals happen). The history with the fewest violations wins, then the one with the least total delay, then one of
+    ``PREFERRED``, as a few days seldom tell a country with daylight saving from one without, then the first by name. ``zone`` is null where even that one is violated by more than ``MOST_VIOLATIONS`` of the rows. With
+    ``candidates`` only these zones are tried. Rows with a null wall clock or ingestion are left out; a source without any
+    row gets none. Zones whose histories do not differ over the days of the data are given under one name.
     """
+    (us,) = scratch(walls, 1)
     usable = walls.where(F.col(wall).isNotNull() & F.col(ingested_us).isNotNull() & F.col(source).isNotNull())
-    sums: list = [F.count(F.lit(1)).alias("rows")]
-    for k, zone in enumerate(candidates):
-        delay = F.col(ingested_us) - wall_to_utc_us(F.col(wall), F.lit(zone))
-        bad = F.when(delay < -early_us, 2).when(delay > late_us, 1).otherwise(0)
-        sums.append(F.sum(bad.cast("long")).alias(f"v{k}"))
-        sums.append(F.sum(F.abs(delay).cast("double")).alias(f"d{k}"))
-    scored = usable.groupBy(source).agg(*sums)
-    best = F.array_min(
-        F.array(
-            *[
-                F.struct(F.col(f"v{k}").alias("v"), F.col(f"d{k}").alias("d"), F.lit(z).alias("z"))
-                for k, z in enumerate(candidates)
-            ]
-        )
-    )
-    return scored.select(source, "rows", best.alias("best")).select(
-        source, F.col("best.z").alias("zone"), F.col("best.v").alias("violations"), "rows"
-    )
+    usable = cut(usable.select(F.col(source).alias("source"), F.col(wall).alias("wall"), F.col(ingested_us).alias(us)))
+    day = floor_div(F.col(us), DAY_US)
+    # offset = wall - ingested + delay, with a delay between -early_us and late_us
+    least, most = F.col("wall") - F.col(us) - early_us, F.col("wall") - F.col(us) + late_us
+    grid = F.sequence(-floor_div(-least, GRID_US), floor_div(most, GRID_US))
+    allowed = F.when(-floor_div(-least, GRID_US) <= floor_div(most, GRID_US), grid).otherwise(F.array().cast("array<bigint>"))
+    sane = F.abs(F.col("wall") - F.col(us)) < 2 * DAY_US
+    counts = usable.where(sane).select("source", day.alias("day"), F.explode(allowed).alias("q")).groupBy("source", "day", "q").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts)
+    span = counts.agg(F.min("day"), F.max("day")).first()
+    histories = () if span[0] is None else offset_histories(int(span[0]), int(span[1]))
+    if candidates is not None and span[0] is not None:
+        histories = tuple(_history(z, int(span[0]), int(span[1])) for z in candidates)
+    steps = [(z, a, b - 1, o // GRID_US) for z, h in histories for (a, o), b in zip(h, [d for d, _ in h[1:]] + [int(span[1]) + 1])]
+    known = walls.sparkSession.createDataFrame(steps, "zone string, a long, b long, q long").select("zone", "q", F.explode(F.sequence("a", "b")).alias("day"))
+    rare = lambda c: ~F.col(c).isin(*PREFERRED)
+    votes = counts.join(known, ["day", "q"]).groupBy("source", "zone").agg(F.sum("n").alias("n"))
+    ranked = votes.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), rare("zone"), "zone"))).where(F.col("k") <= FINALISTS)
+    finals = ranked.groupBy("source").agg(F.collect_list("zone").alias("zones"))
+    delay = F.col(us) - wall_to_utc_us(F.col("wall"), F.col("zone"))
+    bad = F.when(delay < -early_us, 2).when(delay > late_us, 1).otherwise(0)
+    scored = usable.join(finals, "source").select("source", "wall", us, F.explode("zones").alias("zone"))
+    scored = scored.groupBy("source", "zone").agg(F.sum(bad.cast("long")).alias("v"), F.sum(F.abs(delay).cast("double")).alias("d"), F.sum((bad > 0).cast("long")).alias("against"), F.count(F.lit(1)).alias("rows"))
+    best = scored.groupBy("source").agg(F.min(F.struct("v", "d", rare("zone").alias("rare"), "zone", "against", "rows")).alias("b"))
+    found = usable.groupBy("source").agg(F.count(F.lit(1)).alias("all")).join(best, "source", "left")
+    zone = F.when(F.col("b.against") <= MOST_VIOLATIONS * F.col("b.rows"), F.col("b.zone"))
+    return found.select(F.col("source").alias(source), zone.alias("zone"), F.coalesce("b.v", F.col("all") * 2).alias("violations"), F.col("all").alias("rows"))
+
+
+def _history(name: str, first_day: int, last_day: int) -> tuple[str, tuple[tuple[int, int], ...]]:
+    zone, steps = zoneinfo.ZoneInfo(name), []
+    for d in range(first_day, last_day + 1):
+        offset = int(datetime.fromtimestamp(d * 86400 + 43200, zone).utcoffset().total_seconds()) * 1_000_000
+        if not steps or steps[-1][1] != offset:
+            steps.append((d, offset))
+    return name, tuple(steps)
+
+
+def instants_beside(df: DataFrame, source: str, order: str, known_us: str, out: str, stretch: int = 100_000) -> DataFrame:
+    """Add ``out``: of the rows of a source in ``order`` (a whole number), the last known instant up to a row, or else the
+    next one. Where no ingestion time is stated, this stands for it in :func:`estimate_zones`: rows are written in about
+    the order in which things happened. Looked for within stretches of ``stretch`` numbers, so that no source is one task."""
+    (part,) = scratch(df, 1)
+    x = df.withColumn(part, floor_div(F.col(order), stretch))
+    w = Window.partitionBy(source, part).orderBy(order)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    near = F.coalesce(F.last(known_us, ignorenulls=True).over(back), F.first(known_us, ignorenulls=True).over(ahead))
+    return x.withColumn(out, near).drop(part)
 
 
 def normalise_instants(

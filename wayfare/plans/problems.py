@@ -11,7 +11,7 @@ from wayfare.operators.grid import regular_grid
 from wayfare.operators.intervals import periods_and_gaps
 from wayfare.operators.mobility import stops_and_trips, usable_pings
 from wayfare.operators.spikes import context_flags, hourly_fences, implausible_speeds, implausible_vectors
-from wayfare.operators.zones import estimate_zones, normalise_instants
+from wayfare.operators.zones import estimate_zones, instants_beside, normalise_instants
 from wayfare.functions.timestamps import read_instants
 from wayfare.plans.sqltext import SQL_LOCATIONS, SQL_SHAKES, SQL_TRIPS
 from wayfare.sources.tables import accelerations, locations, table, trips, with_zone
@@ -51,6 +51,16 @@ def p3_zones(spark: SparkSession, folder: str) -> DataFrame:
     return estimate_zones(walls, "user_id", "wall_us", "ingested_us")
 
 
+def p3_zones_by_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by sequence order alone: a text without zone stands near the instants of the texts with one that arrived
+    before it, of the same UTC day of arrival; how long any took to arrive is not used."""
+    pings = table(spark, folder, "locationeventpertime").withColumn("none", F.lit(None).cast("string"))
+    walls = read_instants(pings, "timestamp", "known_us", "none", day="day", wall="wall_us")
+    walls = walls.select("user_id", F.unix_micros(F.col("received_at").cast("timestamp")).alias("arrived"), "known_us", "wall_us")
+    near = instants_beside(walls, "user_id", "arrived", "known_us", "near_us", stretch=24 * HOUR_US)
+    return estimate_zones(near, "user_id", "wall_us", "near_us", early_us=25 * 60_000_000, late_us=25 * 60_000_000)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     shaken = implausible_vectors(accelerations(spark, folder), "user_id", "instant_us", "event_id", ["x", "y", "z"])
     fast = implausible_speeds(table(spark, folder, "locationeventpertime"), "user_id", "instant_us", "event_id", "speed", timed=locations(spark, folder))
@@ -92,7 +102,7 @@ def p7_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_mobility, p3_found, p3_zones, p5_found, p5_fences, p5_context, p6_found, p7_found, p7_grid)
+    f.__name__: f for f in (p2_found, p2_mobility, p3_found, p3_zones, p3_zones_by_order, p5_found, p5_fences, p5_context, p6_found, p7_found, p7_grid)
 }
 
 _HELD = """SELECT {id} FROM (SELECT *, count(*) OVER (PARTITION BY {u}, run) AS len FROM (SELECT *, sum(fresh) OVER (PARTITION BY {u} ORDER BY instant_us, {id} ROWS UNBOUNDED PRECEDING) AS run FROM

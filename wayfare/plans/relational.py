@@ -52,10 +52,12 @@ def citizen_mode(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "citizen").select("citizen_id", mode.alias("mode"), F.when(mode == "ON-OFF", "window").otherwise("cluster").alias("detector"))
 
 
-@query("SELECT citizen_id FROM citizen WHERE citizen_id NOT IN (SELECT citizen_id FROM trip WHERE stop_timestamp >= TIMESTAMP '2018-06-01' AND stop_timestamp < TIMESTAMP '2018-07-01' AND citizen_id IS NOT NULL)")
+@query("WITH m AS (SELECT date_trunc('month', max(stop_timestamp)) AS a FROM trip) SELECT citizen_id FROM citizen WHERE citizen_id NOT IN (SELECT citizen_id FROM trip, m WHERE stop_timestamp >= a AND citizen_id IS NOT NULL)")
 def users_to_process(spark: SparkSession, folder: str) -> DataFrame:
-    """Citizens without a trip in June 2018; the range on the plain column reaches the scan."""
-    done = table(spark, folder, "trip").where("stop_timestamp >= timestamp_ntz'2018-06-01 00:00:00' and stop_timestamp < timestamp_ntz'2018-07-01 00:00:00'")
+    """Citizens without a trip in the last month that has any; the range on the plain column reaches the scan."""
+    t = table(spark, folder, "trip")
+    first = t.agg(F.date_trunc("month", F.max("stop_timestamp"))).first()[0]
+    done = t.where(F.lit(False) if first is None else F.col("stop_timestamp") >= F.lit(first).cast("timestamp_ntz"))
     return table(spark, folder, "citizen").join(done.select("citizen_id"), "citizen_id", "left_anti").select("citizen_id")
 
 

@@ -202,20 +202,10 @@ def common_label(spark: SparkSession, folder: str) -> DataFrame:
     return features.sliding_norms(sensor_rows(spark, folder), 8).select("id", "label")
 
 
-_H = "sqrt(2.0::double)"
-
-
-@query(f"SELECT vec_id AS id, round((embedding[1]::double + embedding[2]::double + embedding[3]::double + embedding[4]::double) / 2, 6) AS h0, round((embedding[1]::double + embedding[2]::double - embedding[3]::double - embedding[4]::double) / 2, 6) AS h1, round((embedding[1]::double - embedding[2]::double) / {_H}, 6) AS h2, round((embedding[3]::double - embedding[4]::double) / {_H}, 6) AS h3 FROM embeddings")
-def haar_features(spark: SparkSession, folder: str) -> DataFrame:
-    v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), features.haar(v, 4).alias("h"))
-    return e.select("id", *[R(F.col("h")[k]).alias(f"h{k}") for k in range(4)])
-
-
 _WIDTH = 64
 
 
-def _sql_haar(width: int) -> str:
+def _sql_haar(width: int, digits: int = 6) -> str:
     """The coefficients of ``width`` values ``v``: from coarse to fine, the first half of each block less the second."""
     part = lambda a, n: f"list_sum(v[{a + 1}:{a + n}])"
     h = [f"{part(0, width)} / sqrt({width}.0::double)"]
@@ -223,7 +213,7 @@ def _sql_haar(width: int) -> str:
     while n > 1:
         h += [f"({part(a, n // 2)} - {part(a + n // 2, n // 2)}) / sqrt({n}.0::double)" for a in range(0, width, n)]
         n //= 2
-    return ", ".join(f"round({x}, 6) AS h{k}" for k, x in enumerate(h))
+    return ", ".join(f"round({x}, {digits}) AS h{k}" for k, x in enumerate(h))
 
 
 @query(f"WITH e AS (SELECT vec_id AS id, CASE WHEN len(embedding) = {_WIDTH} THEN embedding::double[] END AS v FROM embeddings) SELECT id, {_sql_haar(_WIDTH)} FROM e")
@@ -234,6 +224,19 @@ def haar_features_full(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("id", *[R(F.col("h")[k]).alias(f"h{k}") for k in range(_WIDTH)])
 
 
+@query(
+    f"WITH e AS (SELECT vec_id AS id, CASE WHEN len(embedding) = {_WIDTH} THEN embedding::double[] END AS v FROM embeddings), h AS (SELECT id, {_sql_haar(_WIDTH, 12)} FROM e) SELECT id, round(h0 * h0, 6) AS e0, "
+    + ", ".join("round(" + " + ".join(f"h{k} * h{k}" for k in range(2**j, 2 ** (j + 1))) + f", 6) AS e{j + 1}" for j in range(6))
+    + " FROM h"
+)
+def haar_features(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, e0 ... e6): the energy of each embedding's transform by level, from the approximation to the finest detail."""
+    v = F.when(F.size("embedding") == _WIDTH, F.transform("embedding", lambda x: x.cast("double")))
+    e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), features.haar(v, _WIDTH).alias("h"))
+    part = lambda a, n: F.aggregate(F.transform(F.slice("h", a, n), lambda x: x * x), F.lit(0.0), lambda x, y: x + y)
+    return e.select("id", R(part(1, 1)).alias("e0"), *[R(part(2**j + 1, 2**j)).alias(f"e{j + 1}") for j in range(6)])
+
+
 @query(f"WITH {SQL_SENSOR}, w AS (SELECT id, avg(sqrt(x * x + y * y + z * z)) OVER v AS m, count(*) OVER v AS n FROM se WINDOW v AS (PARTITION BY track ORDER BY t, id ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) SELECT id, round(m, 6) AS mean FROM w WHERE n = 50")
 def activity_windows(spark: SparkSession, folder: str) -> DataFrame:
     return features.activity_windows(sensor_rows(spark, folder), 50).select("id", R("mean").alias("mean"))
