@@ -135,9 +135,12 @@ def normalise_instants(
     """
     if ingested is None:
         return read_instants(df, text, out, stated_zone, day=day)
+    unstated = ~F.coalesce(known_zone(F.col(stated_zone)), F.lit(False)) & F.col(source).isNotNull()
+    if not df.where(unstated).limit(1).count():
+        return read_instants(df, text, out, stated_zone, day=day)  # nothing to estimate
     wall, zone, us, est, read = scratch(df, 5)
     read_once = read_instants(df, text, read, stated_zone, day=day, wall=wall)
-    missing = read_once.where(~F.coalesce(known_zone(F.col(stated_zone)), F.lit(False)))
+    missing = read_once.where(unstated)
     witnesses = missing.select(source, wall, F.unix_micros(F.col(ingested).cast("timestamp")).alias(us))
     guess = estimate_zones(witnesses, source, wall, us).select(F.col(source).alias(est), F.col("zone").alias(zone))
     filled = read_once.join(guess, F.col(source) == F.col(est), "left")
