@@ -8,6 +8,10 @@ a third of all rows is thereby spread over as many tasks as it has chunks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,3 +63,28 @@ def with_running_sums(
     carried = totals.select(*keys, chunk, *[F.coalesce(F.sum(c).over(far), F.lit(0)).alias(c) for c in carry])
     rows = rows.join(carried, [*keys, chunk])
     return rows.withColumns({n: F.col(n) + F.col(c) for n, c in zip(sums, carry)}).drop(*carry)
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each key of batches sorted by key, for ``mapInArrow`` after a sort within partitions: many small groups
+    cost no call each. One key is held at a time."""
+    waiting: list[pa.RecordBatch] = []
+    key: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            codes = np.asarray(c.dictionary_encode().indices) if pa.types.is_string(c.type) else np.asarray(c)
+            change[1:] |= codes[1:] != codes[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            mine = tuple(c[a].as_py() for c in columns)
+            if key is not None and mine != key:
+                yield key, pa.Table.from_batches(waiting)
+                waiting = []
+            key = mine
+            waiting.append(batch.slice(a, b - a))
+    if waiting:
+        yield key, pa.Table.from_batches(waiting)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfare.operators.chunked import by_key
 from wayfare.operators.trajectory import inside_spans, mean_pair_speed
 from wayfare.session import cut
 
@@ -88,17 +91,19 @@ def stop_points(df: DataFrame, ceps: float, eps: float, least: int, expand_all:
     """(track, stop, pos, id, t, lat, lon): the points of each stop cluster in order of insertion. One track, a day of
     one device, is clustered at a time."""
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["t", "id"]).reset_index(drop=True)
-        parts = ordered_clusters(x.t.to_numpy(), x.lat.to_numpy(), x.lon.to_numpy(), ceps, eps, least, expand_all)
-        rows = [(s, k, i) for s, c in enumerate(parts) for k, i in enumerate(c)]
-        s, k, i = (np.array(v, dtype=np.int64) for v in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-        y = x.iloc[i].reset_index(drop=True)
-        y["stop"], y["pos"] = s, k
-        return y[["track", "stop", "pos", "id", "t", "lat", "lon"]]
+    names = ["track", "stop", "pos", "id", "t", "lat", "lon"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x in by_key(batches, ["track"]):
+            parts = ordered_clusters(*(x.column(c).to_numpy() for c in ("t", "lat", "lon")), ceps, eps, least, expand_all)
+            if parts:
+                y = x.take(pa.array(np.concatenate(parts), pa.int64()))
+                y = y.append_column("stop", pa.array(np.repeat(np.arange(len(parts)), [len(c) for c in parts]), pa.int64()))
+                yield from y.append_column("pos", pa.array(np.concatenate([np.arange(len(c)) for c in parts]), pa.int64())).select(names).combine_chunks().to_batches()
 
     kind = dict(df.dtypes)["track"]
-    return df.select("track", "id", "t", "lat", "lon").groupBy("track").applyInPandas(run, f"track {kind}, stop long, pos long, id long, t long, lat double, lon double")
+    rows = df.select("track", "id", "t", "lat", "lon").dropna().repartition("track").sortWithinPartitions("track", "t", "id")
+    return rows.mapInArrow(run, f"track {kind}, stop long, pos long, id long, t long, lat double, lon double")
 
 
 def trips_between_stops(df: DataFrame, stops: DataFrame, least_kmh: float = 4.0) -> DataFrame:
@@ -220,19 +225,24 @@ def density_clusters(df: DataFrame, eps_km: float, least: int, within_s: int | N
     kind = dict(df.dtypes)["track"]
     within_us = None if within_s is None else within_s * 1_000_000
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        good = x[["t", "lat", "lon"]].notna().all(axis=1).to_numpy()
-        y = x[good]
-        ids = y.id.to_numpy()
-        label, core, border = dbscan(y.t.to_numpy(np.int64), y.lat.to_numpy(float), y.lon.to_numpy(float), eps_km, least, within_us)
-        least_id: dict[int, int] = {}
-        for k, i in zip(label[core].tolist(), ids[core].tolist()):
-            least_id[k] = min(i, least_id.get(k, i))
-        found = [least_id.get(k) for k in label.tolist()]
-        for k, near in border:
-            found[k] = min(least_id[c] for c in near.tolist())
-        out = pd.Series([None] * len(x), dtype="Int64")
-        out[np.flatnonzero(good)] = pd.array(found, dtype="Int64")
-        return pd.DataFrame({"track": x.track.to_numpy(), "id": x.id.to_numpy(), "cluster": out})
-
-    return df.select("track", "id", "t", "lat", "lon").groupBy("track").applyInPandas(run, f"track {kind}, id long, cluster long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x in by_key(batches, ["track"]):
+            good = np.ones(len(x), bool)
+            for c in ("t", "lat", "lon"):
+                good &= np.asarray(x.column(c).is_valid())
+            ids = x.column("id").to_numpy()[good]
+            label, core, border = dbscan(*(x.column(c).filter(pa.array(good)).to_numpy() for c in ("t", "lat", "lon")), eps_km, least, within_us)
+            least_id: dict[int, int] = {}
+            for k, i in zip(label[core].tolist(), ids[core].tolist()):
+                least_id[k] = min(i, least_id.get(k, i))
+            found = [least_id.get(k) for k in label.tolist()]
+            for k, near in border:
+                found[k] = min(least_id[c] for c in near.tolist())
+            every: list[int | None] = [None] * len(x)
+            for k, v in zip(np.flatnonzero(good).tolist(), found):
+                every[k] = v
+            y = x.select(["track", "id"]).append_column("cluster", pa.array(every, pa.int64()))
+            yield from y.combine_chunks().to_batches()
+
+    rows = df.select("track", "id", "t", "lat", "lon").repartition("track").sortWithinPartitions("track")
+    return rows.mapInArrow(run, f"track {kind}, id long, cluster long")

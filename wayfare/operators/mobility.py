@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from wayfare.operators.chunked import chunk_of
+from wayfare.operators.chunked import by_key, chunk_of
 from wayfare.session import cut
 
 #: Cost of a changepoint, in fixes: stretches of up to twice as many between segments at rest are searched with them.
@@ -314,30 +314,6 @@ class _Joined:
                 yield "trip", at, hi
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """The rows of each key of batches sorted by key; one key is held at a time."""
-    waiting: list[pa.RecordBatch] = []
-    key: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            codes = np.asarray(c.dictionary_encode().indices) if pa.types.is_string(c.type) else np.asarray(c)
-            change[1:] |= codes[1:] != codes[:-1]
-        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(starts, starts[1:]):
-            mine = tuple(c[a].as_py() for c in columns)
-            if key is not None and mine != key:
-                yield key, pa.Table.from_batches(waiting)
-                waiting = []
-            key = mine
-            waiting.append(batch.slice(a, b - a))
-    if waiting:
-        yield key, pa.Table.from_batches(waiting)
-
-
 def stops_and_trips(
     pings: DataFrame,
     diameter_m: float = 100.0,
@@ -370,7 +346,7 @@ def stops_and_trips(
     def summaries(fixes: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[list] = [[], [], []]
-            for (device, chunk), x in _grouped(batches, ["device", "chunk"]):
+            for (device, chunk), x in by_key(batches, ["device", "chunk"]):
                 t, ids, lat, lon, halo, p0 = (x.column(c).to_numpy() for c in ("at", "id", "lat", "lon", "halo", "p0"))
                 if (s := _summary(t, ids, np.radians(lat), np.radians(lon), halo.astype(bool), int(p0[0]), *options)) is not None:
                     for column, v in zip(out, (device, chunk, pickle.dumps(s))):
@@ -388,7 +364,7 @@ def stops_and_trips(
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [name_type, pa.string(), *[pa.int64()] * 4, pa.float64(), pa.int64(), pa.int32()]
-        for (device,), x in _grouped(batches, ["device"]):
+        for (device,), x in by_key(batches, ["device"]):
             one = _Joined(diameter_m, least_us, silence_us)
             for chunk, s in zip(x.column("chunk").to_pylist(), x.column("summary")):
                 one.add(chunk, pickle.loads(s.as_py()))

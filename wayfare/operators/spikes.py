@@ -62,17 +62,23 @@ def quantile_in(df: DataFrame, keys: list[str], value: str, brackets: DataFrame,
     a few per cent, are ranked in one window per key. While a bracket holds more than ``most_rows`` rows, one more pass
     splits it into a thousand parts and takes the one or two that matter, so no window grows with its source."""
     inside = F.col(value).between(F.col("from_v"), F.col("to_v"))
-    brackets = cut(brackets)
-    while brackets.where((F.col("inside_n") > most_rows) & (F.col("from_v") < F.col("to_v"))).limit(1).count():
+    def written(x: DataFrame) -> tuple[DataFrame, int, int]:
+        """Brackets, written; how many; and the most rows that one still to be split holds."""
+        x = cut(x)
+        n, most = x.agg(F.count(F.lit(1)), F.max(F.when(F.col("from_v") < F.col("to_v"), F.col("inside_n")))).first()
+        return x, n, most or 0
+
+    brackets, size, most = written(brackets)
+    while most > most_rows:
         part = F.floor((F.col(value) - F.col("from_v")) / F.nullif(F.col("to_v") - F.col("from_v"), F.lit(0.0)) * 1000)
-        x = _beside(df, brackets, keys).where((F.col(value) < F.col("from_v")) | inside)
+        x = _beside(df, brackets, keys, size).where((F.col(value) < F.col("from_v")) | inside)
         parts = x.groupBy(*keys, "total", "ra", "rb", F.when(inside, F.coalesce(part, F.lit(0))).otherwise(-1).alias("bucket"))
         parts = parts.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
         parts = parts.withColumn("up", F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
         holds = lambda r: (F.col("up") > F.col(r)) & (F.col("up") - F.col("n") <= F.col(r))
         brackets = parts.where(holds("ra") | holds("rb")).groupBy(*keys, "total", "ra", "rb")
-        brackets = cut(brackets.agg(F.min("lo").alias("from_v"), F.max("hi").alias("to_v"), F.sum("n").alias("inside_n")))
-    x = _beside(df, brackets, keys)
+        brackets, size, most = written(brackets.agg(F.min("lo").alias("from_v"), F.max("hi").alias("to_v"), F.sum("n").alias("inside_n")))
+    x = _beside(df, brackets, keys, size)
     below = F.col(value) < F.col("from_v")
     counted = x.where(below | inside).groupBy(*keys, "ra", "rb", "total", F.when(inside, F.col(value)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     up = F.sum("n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
@@ -105,9 +111,9 @@ def median_fences(df: DataFrame, source: str, values: list[str], bound: float, t
     )
 
 
-def _beside(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+def _beside(df: DataFrame, stats: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
     """Inner join of rows with a written table of statistics, one row a key; broadcast only after counting it."""
-    return df.join(F.broadcast(stats) if stats.count() <= BROADCAST_SOURCES else stats, keys)
+    return df.join(F.broadcast(stats) if (stats.count() if size is None else size) <= BROADCAST_SOURCES else stats, keys)
 
 
 def _with_statistics(df: DataFrame, source: str, stats: DataFrame) -> DataFrame:

@@ -26,3 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def clear_checkpoints(spark: SparkSession) -> None:
+    """Remove what this application has written to the checkpoint folder. Frames that go on from there must not be read
+    afterwards. Sessions with ``spark.cleaner.referenceTracking.cleanCheckpoints`` remove them by themselves in time."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
