@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,8 +64,11 @@ def p3_zones_by_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    shaken = implausible_vectors(accelerations(spark, folder), "user_id", "instant_us", "event_id", ["x", "y", "z"])
-    fast = implausible_speeds(table(spark, folder, "locationeventpertime"), "user_id", "instant_us", "event_id", "speed", timed=locations(spark, folder))
+    shaken = lambda: implausible_vectors(accelerations(spark, folder), "user_id", "instant_us", "event_id", ["x", "y", "z"])
+    fast = lambda: implausible_speeds(table(spark, folder, "locationeventpertime"), "user_id", "instant_us", "event_id", "speed", timed=locations(spark, folder))
+    # The two tables have nothing to do with each other: their statistics are gathered side by side.
+    with ThreadPoolExecutor(2) as pool:
+        shaken, fast = (f.result() for f in [pool.submit(inheritable_thread_target(f)) for f in (shaken, fast)])
     return shaken.select(F.lit("accelerometerevent").alias("source_table"), "event_id").unionByName(
         fast.select(F.lit("locationeventpertime").alias("source_table"), "event_id")
     )
@@ -136,6 +141,14 @@ r AS (SELECT *, max(b) OVER (PARTITION BY citizen_id ORDER BY a, b ROWS BETWEEN
 g AS (SELECT *, sum(CASE WHEN a <= so_far THEN 0 ELSE 1 END) OVER (PARTITION BY citizen_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS no FROM r),
 p AS (SELECT citizen_id, no, min(a) AS from_us, max(b) AS to_us FROM g GROUP BY 1, 2), q AS (SELECT citizen_id, to_us AS from_us, lead(from_us) OVER (PARTITION BY citizen_id ORDER BY from_us) AS to_us FROM p)
 SELECT citizen_id, 'period' AS kind, from_us, to_us FROM p UNION ALL SELECT citizen_id, 'gap', from_us, to_us FROM q WHERE to_us - from_us <= 86400000000""",
+    "p7_grid": f"""WITH {SQL_SHAKES}, b AS (SELECT user_id, instant_us // 60000000 AS bucket, count(*) AS readings, avg(x::double) AS mean, min(instant_us) AS a, max(instant_us) AS z FROM acc
+  WHERE user_id IS NOT NULL AND instant_us IS NOT NULL AND x IS NOT NULL AND NOT isnan(x) GROUP BY 1, 2),
+n AS (SELECT *, CASE WHEN a - lag(z) OVER (PARTITION BY user_id ORDER BY bucket) <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM b),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS recording FROM n),
+g AS (SELECT user_id, recording, unnest(range(min(bucket), max(bucket) + 1)) AS bucket FROM k GROUP BY 1, 2),
+j AS (SELECT g.user_id, g.recording, g.bucket, readings, mean FROM g LEFT JOIN k ON k.user_id = g.user_id AND k.bucket = g.bucket),
+l AS (SELECT *, last_value(CASE WHEN readings IS NOT NULL THEN bucket END IGNORE NULLS) OVER w AS lb, last_value(mean IGNORE NULLS) OVER w AS lm FROM j WINDOW w AS (PARTITION BY user_id, recording ORDER BY bucket ROWS UNBOUNDED PRECEDING))
+SELECT user_id, recording::bigint AS recording, bucket, coalesce(readings, 0)::bigint AS readings, CASE WHEN readings IS NOT NULL THEN mean WHEN (bucket - lb) * 60000000 <= 300000000 THEN lm END AS value, (readings IS NULL AND (bucket - lb) * 60000000 <= 300000000) AS filled FROM l""",
     "p7_found": """
 WITH r AS (SELECT user_id, epoch_us(strptime(trim(timestamp), '%Y%m%d%H%M%S%g')) AS t FROM accelerometerevent
            WHERE user_id IS NOT NULL AND length(trim(timestamp)) = 17 AND x IS NOT NULL AND NOT isnan(x)),

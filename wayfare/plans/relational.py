@@ -180,7 +180,18 @@ def questionnaire_json(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("trip_id", F.to_json(F.struct(F.col("citizen_id").alias("uuid"), F.array(at("start"), at("stop")).alias("points"))).alias("json"))
 
 
-@query()
+_FACTS = """WITH p AS (SELECT *, regexp_extract(modelinfo, '^([A-Za-z0-9_]+)\\(', 1) AS algo, regexp_matches(modelinfo, '^[A-Za-z0-9_]+\\(.+\\)$') AS good, 'urn:study:stage/' || stage_id AS st, 'urn:study:run/' || sha256(modelinfo) AS run FROM predictedstage),
+e AS (SELECT stage_id, run, trim(split_part(x, '=', 1)) AS k, trim(regexp_replace(x, '^[^=]*=?', '')) AS v, i FROM (SELECT stage_id, run, unnest(string_split(regexp_extract(modelinfo, '\\((.*)\\)', 1), ',')) AS x, generate_subscripts(string_split(regexp_extract(modelinfo, '\\((.*)\\)', 1), ','), 1) AS i FROM p WHERE good)),
+t AS (SELECT st AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://www.w3.org/ns/prov#Entity' AS o, 'iri' AS o_type FROM p
+UNION ALL SELECT st, 'http://www.w3.org/ns/prov#wasDerivedFrom', 'urn:study:trip/' || trip_id, 'iri' FROM p
+UNION ALL SELECT st, 'http://purl.org/dc/elements/1.1/type', label, 'literal' FROM p UNION ALL SELECT st, 'http://www.w3.org/ns/mls#hasValue', prob::varchar, 'literal' FROM p
+UNION ALL SELECT st, 'http://www.w3.org/ns/prov#wasGeneratedBy', run, 'iri' FROM p WHERE good UNION ALL SELECT run, 'http://www.w3.org/ns/mls#executes', 'urn:study:implementation/' || algo, 'iri' FROM p WHERE good
+UNION ALL SELECT 'urn:study:implementation/' || algo, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://www.w3.org/ns/mls#Implementation', 'iri' FROM p WHERE good
+UNION ALL SELECT run, 'urn:study:setting/' || k, arg_min(v, i), 'literal' FROM e GROUP BY stage_id, run, k)
+SELECT DISTINCT s, p, o, o_type FROM t WHERE s IS NOT NULL AND o IS NOT NULL"""
+
+
+@query(_FACTS)
 def provenance_triples(spark: SparkSession, folder: str) -> DataFrame:
     """What was predicted by which model with which settings, as distinct subject, predicate, object triples."""
     return provenance.triples(table(spark, folder, "predictedstage"))
