@@ -165,6 +165,11 @@ def test_the_whole_way(spark, tmp_path):
         assert all([p["t"] for p in s["trace"]] == sorted(p["t"] for p in s["trace"]) for s in own)
     assert {r["model"] for r in stage} == {"scored", "guessed"}
     assert len(pipeline.stage_table(spark, FOLDER, done).columns) == 13 and pipeline.coloured_trips(done).count() == len(trip)
+    # Of one day only the trips of that day, with the same accelerations.
+    first = min(trip)
+    day = first.split("/")[1].split("#")[0].replace("-", "")
+    one = {f"{r['track']}#{r['trip']}" for r in pipeline.run(spark, FOLDER, day, study=Study(least_samples=150, large=30)).trips.collect()}
+    assert one and all(scans.around(day, -1) <= k.split("/")[1].split("#")[0].replace("-", "") <= scans.around(day, 1) for k in one)
     main(["trips", FOLDER, "-o", str(tmp_path / "out")], spark)
     assert spark.read.parquet(str(tmp_path / "out/trips")).count() > 0
     main(["stages", FOLDER, "-o", str(tmp_path / "none"), "-d", "20180101", "-s", "--dryrun"], spark)

@@ -15,7 +15,7 @@ from wayfare.session import cut
 from wayfare.settings import STUDY, Study
 from wayfare.sources import rows
 from wayfare.sources.places import address_of, places
-from wayfare.sources.scans import scan_accelerations
+from wayfare.sources.scans import around, scan_accelerations
 from wayfare.sources.tracks import instant_tracks
 
 
@@ -47,7 +47,9 @@ def run(
     takes its best mode, modes are cleaned, and their changes projected onto the trip's trace."""
     points = cut(trips.extract_trips(instant_tracks(spark, folder, day, users), study))
     ends = cut(trips.trip_ends(points))
-    samples = samples_of(spark, folder, ends, users=users)
+    # A local day lies within the UTC day of its name and the days beside it.
+    near = {} if day is None else dict(zip(("first", "last"), (around(day, -1), around(day, 1))))
+    samples = samples_of(spark, folder, ends, users=users, **near)
     enough = samples.groupBy("track", "trip").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= study.least_samples)
     samples = samples.join(enough.select("track", "trip"), ["track", "trip"], "left_semi")
     scored = scoring.predictions((scorer or scoring.ByShake()).score(samples))

@@ -16,6 +16,7 @@ from wayfare.operators.spikes import context_flags, hourly_fences, implausible_s
 from wayfare.operators.zones import estimate_zones, instants_beside, normalise_instants
 from wayfare.functions.timestamps import read_instants
 from wayfare.plans.sqltext import SQL_LOCATIONS, SQL_SHAKES, SQL_TRIPS
+from wayfare.sources.tracks import sql_km
 from wayfare.sources.tables import accelerations, locations, table, trips, with_zone
 
 HOUR_US = 3_600_000_000
@@ -122,7 +123,24 @@ def _sql_held(source: str, values: str, more: str = "") -> str:
 
 _AXES = [f"SELECT event_id, user_id, {k} AS axis, {v}::double AS v FROM ac" for k, v in enumerate("xyz")]
 
+_KMH = "{km} * 3600000000.0::double / ({b} - {a})"
+_PINGS = f"""{SQL_LOCATIONS}, u AS (SELECT user_id, instant_us AS t, min(event_id) AS id, arg_min(point.latitude, event_id) AS lat, arg_min(point.longitude, event_id) AS lon FROM loc
+  WHERE user_id IS NOT NULL AND instant_us IS NOT NULL AND accuracy > 0 AND accuracy <= 200 AND point.latitude BETWEEN -90 AND 90 AND point.longitude BETWEEN -180 AND 180 AND NOT (point.latitude = 0 AND point.longitude = 0) GROUP BY 1, 2),
+n AS (SELECT *, lag(t) OVER w AS ta, lag(lat) OVER w AS la, lag(lon) OVER w AS oa, lead(t) OVER w AS tc, lead(lat) OVER w AS lc, lead(lon) OVER w AS oc FROM u WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+k AS (SELECT user_id, t, id, lat, lon FROM n WHERE NOT coalesce({_KMH.format(km=sql_km("la", "oa", "lat", "lon"), a="ta", b="t")} > 300 AND {_KMH.format(km=sql_km("lat", "lon", "lc", "oc"), a="t", b="tc")} > 300, false)),
+f AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 3600000000 THEN 0 ELSE 1 END AS fresh, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM k),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS ses FROM f),
+x AS (SELECT a.user_id, a.i, min(b.i) AS mb FROM s a JOIN s b ON a.user_id = b.user_id AND a.ses = b.ses AND a.i < b.i AND {sql_km("a.lat", "a.lon", "b.lat", "b.lon")} * 1000 > 100 GROUP BY 1, 2),
+e AS (SELECT s.*, coalesce(min(mb) OVER (PARTITION BY s.user_id, ses ORDER BY s.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 1, max(s.i) OVER (PARTITION BY s.user_id, ses)) AS e FROM s LEFT JOIN x ON x.user_id = s.user_id AND x.i = s.i),
+g AS (SELECT e.user_id, e.ses, e.i, e.e, e.id, z.id AS ide FROM e JOIN s z ON z.user_id = e.user_id AND z.i = e.e WHERE z.t - e.t >= 600000000),
+st AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY user_id, ses ORDER BY i) = 1
+  UNION ALL SELECT g.* FROM st JOIN g ON g.user_id = st.user_id AND g.ses = st.ses AND g.i > st.e QUALIFY row_number() OVER (PARTITION BY g.user_id, g.ses ORDER BY g.i) = 1),
+b AS (SELECT user_id, ses, min(i) AS lo, max(i) AS hi, arg_min(id, i) AS fid, arg_max(id, i) AS lid FROM s GROUP BY 1, 2),
+v AS (SELECT user_id, ses, i, e, id, ide FROM st UNION ALL SELECT user_id, ses, lo - 1, lo - 1, fid, fid FROM b),
+o AS (SELECT v.*, hi, lid, lead(i) OVER w AS ni, lead(id) OVER w AS nid FROM v JOIN b USING (user_id, ses) WINDOW w AS (PARTITION BY v.user_id, v.ses ORDER BY v.i))"""
+
 ORACLES: dict[str, str] = {
+    "p2_found": f"WITH RECURSIVE {_PINGS} SELECT user_id, 'stop' AS kind, id AS first_id, ide AS last_id FROM st UNION ALL SELECT user_id, 'trip', ide, coalesce(nid, lid) FROM o WHERE coalesce(ni, hi + 1) > e + 1",
     "p3_found": f"WITH {SQL_LOCATIONS}, {SQL_TRIPS} SELECT 'locationeventpertime' AS source_table, event_id AS row_id, instant_us AS epoch_us FROM loc WHERE instant_us IS NOT NULL UNION ALL SELECT 'trip', trip_id, start_us FROM mv WHERE start_us IS NOT NULL",
     "p5_found": f"""WITH {SQL_SHAKES}, {SQL_LOCATIONS},
 ac AS (SELECT event_id, user_id, instant_us, CASE WHEN NOT isnan(x) THEN x END AS x, CASE WHEN NOT isnan(y) THEN y END AS y, CASE WHEN NOT isnan(z) THEN z END AS z FROM acc),

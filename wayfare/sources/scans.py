@@ -53,6 +53,11 @@ def days_between(first: str, last: str) -> Iterator[str]:
         a += timedelta(days=1)
 
 
+def around(day: str, by: int) -> str:
+    """The day ``by`` days after ``day``, both yyyyMMdd."""
+    return (date(int(day[:4]), int(day[4:6]), int(day[6:])) + timedelta(days=by)).strftime("%Y%m%d")
+
+
 def select_mapped(spark: SparkSession, statement: str, row: dict[str, str], **views: DataFrame) -> DataFrame:
     """The rows of a SQL statement over frames, each output column an expression over the statement's columns."""
     return spark.sql(statement, **views).select(*[F.expr(e).alias(name) for name, e in row.items()])
