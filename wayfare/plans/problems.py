@@ -69,7 +69,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     fast = lambda: implausible_speeds(table(spark, folder, "locationeventpertime"), "user_id", "instant_us", "event_id", "speed", timed=locations(spark, folder))
     # The two tables have nothing to do with each other: their statistics are gathered side by side.
     with ThreadPoolExecutor(2) as pool:
-        shaken, fast = (f.result() for f in [pool.submit(inheritable_thread_target(f)) for f in (shaken, fast)])
+        shaken, fast = (f.result() for f in [pool.submit(inheritable_thread_target(spark)(f)) for f in (shaken, fast)])
     return shaken.select(F.lit("accelerometerevent").alias("source_table"), "event_id").unionByName(
         fast.select(F.lit("locationeventpertime").alias("source_table"), "event_id")
     )
