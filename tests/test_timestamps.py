@@ -3,8 +3,8 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.functions.timestamps import compact_utc_us, read_instants
-from wayfare.operators.zones import estimate_zones, instants_beside, normalise_instants
+from wayfare.functions.timestamps import compact_utc_us, read_instants, wall_to_utc_us, zone_names
+from wayfare.operators.zones import PREFERRED, estimate_zones, instants_beside, normalise_instants
 
 
 def us(*parts, micro=0):
@@ -106,6 +106,54 @@ def test_zones_of_any_offset_history(spark):
     assert estimate_zones(spark.createDataFrame([], "s string, w long, i long"), "s", "w", "i").count() == 0
 
 
+def test_no_offset_history_is_left_out(spark):
+    """More histories than a few fit equally, and some differ only in the hours of one night."""
+    hour = 3_600_000_000
+    wide = [("wide", us(2018, 6, d, 12, 45) + 5 * hour, us(2018, 6, d, 12) + 10_000_000) for d in range(1, 20)]
+    got = estimate_zones(spark.createDataFrame(wide, "s string, w long, i long"), "s", "w", "i", late_us=6 * hour).first()
+    assert tuple(got) == ("wide", "Asia/Kathmandu", 0, 19)
+    # Beirut changes at its midnight, Athens and Rome three hours later.
+    night = [("night", us(2018, 3, 24, 22, k) + 3 * hour, us(2018, 3, 24, 22, k) + 5_000_000) for k in range(0, 60, 5)]
+    night += [("night", us(2018, 3, 24, 21, k) + 2 * hour, us(2018, 3, 24, 21, k) + 5_000_000) for k in range(0, 60, 5)]
+    got = estimate_zones(spark.createDataFrame(night, "s string, w long, i long"), "s", "w", "i").first()
+    assert tuple(got) == ("night", "Asia/Beirut", 0, 24)
+    troll = [("troll", us(2018, m, 5, 12 + (2 if 4 <= m <= 10 else 0)), us(2018, m, 5, 12)) for m in range(1, 13)]
+    got = estimate_zones(spark.createDataFrame(troll, "s string, w long, i long"), "s", "w", "i").first()
+    assert tuple(got) == ("troll", "Antarctica/Troll", 0, 12)
+    none = estimate_zones(spark.createDataFrame(troll, "s string, w long, i long"), "s", "w", "i", candidates=[]).first()
+    assert tuple(none) == ("troll", None, 24, 12)
+
+
+def test_zones_by_counts_are_those_of_the_rows(spark):
+    """Every zone scored row by row against every source: messy ones, rows days off, sentinels and years of odd offsets."""
+    import random
+    import re
+    from zoneinfo import ZoneInfo
+
+    rng, rows = random.Random(7), []
+    for k in range(12):
+        zone = ZoneInfo(rng.choice(["Asia/Kathmandu", "Europe/Rome", "America/St_Johns", "Australia/Lord_Howe", "Africa/Casablanca", "Asia/Beirut"]))
+        years = [2018] if k < 8 else [2016, 2018] if k < 10 else [1971]
+        for _ in range(rng.choice([1, 3, 30])):
+            at = datetime(rng.choice(years), rng.randrange(1, 13), rng.randrange(1, 29), rng.randrange(24), rng.randrange(60), tzinfo=timezone.utc)
+            wall = int(at.astimezone(zone).replace(tzinfo=timezone.utc).timestamp()) * 1_000_000
+            off = rng.choice([0, 0, rng.randrange(-1, 25) * 60_000_000, rng.randrange(-9, 9) * 3_600_000_000, rng.randrange(-4, 4) * 86_400_000_000])
+            rows.append((k, wall, int(at.timestamp()) * 1_000_000 + off + rng.randrange(3_000_000)))
+    rows += [(1, us(1, 1, 1), us(2018, 1, 1)), (2, us(9999, 12, 31, 23), us(2018, 1, 1)), (3, us(2018, 1, 1), us(9999, 12, 31))]
+    df = spark.createDataFrame(rows, "s int, w long, i long").cache()
+    names = [z for z in zone_names() if z == "UTC" or re.match(r"(Africa|America|Antarctica|Asia|Atlantic|Australia|Etc|Europe|Indian|Pacific)/", z)]
+    for early, late in ((1_000_000, 1_200_000_000), (-2_000_000, 20_000_000_000)):
+        got = estimate_zones(df, "s", "w", "i", early_us=early, late_us=late).collect()
+        delay = F.col("i") - wall_to_utc_us(F.col("w"), F.col("zone"))
+        bad = F.when(delay < -early, 2).when(delay > late, 1).otherwise(0)
+        tier = F.when(F.col("zone").isin(*PREFERRED), 0).when(F.col("zone").rlike("^(Antarctica|Etc)/"), 2).otherwise(1)
+        each = df.crossJoin(spark.createDataFrame([(z,) for z in names], "zone string"))
+        each = each.groupBy("s", "zone").agg(F.sum(bad).alias("v"), F.sum(F.abs(delay).cast("decimal(30,0)")).alias("d"), F.sum((bad > 0).cast("int")).alias("against"), F.count("w").alias("n"))
+        best = each.groupBy("s").agg(F.min(F.struct("v", "d", tier.alias("tier"), "zone", "against", "n")).alias("b")).select("s", "b.*")
+        expected = {r["s"]: (r["zone"] if r["against"] <= 0.4 * r["n"] else None, r["v"], r["n"]) for r in best.collect()}
+        assert {r["s"]: tuple(r)[1:] for r in got} == expected and len(got) == 12
+
+
 def test_instants_beside(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, 50), ("a", 3, None), ("a", 250_000, None), ("b", 2, None)], "s string, k long, t long")
     assert {(r["s"], r["k"]): r["near"] for r in instants_beside(df, "s", "k", "t", "near").collect()} == {("a", 1): 50, ("a", 2): 50, ("a", 3): 50, ("a", 250_000): None, ("b", 2): None}

@@ -60,14 +60,15 @@ def _record(t: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _zone_names() -> tuple[str, ...]:
+def zone_names() -> tuple[str, ...]:
+    """The names of all zones the JVM knows."""
     jvm = SparkSession.active().sparkContext._jvm
     return tuple(sorted(str(z) for z in jvm.java.time.ZoneId.getAvailableZoneIds()))
 
 
 def known_zone(zone: Column) -> Column:
     """True where ``zone`` names a zone the JVM knows."""
-    return zone.isin(*_zone_names())
+    return zone.isin(*zone_names())
 
 
 def _lookup(table: dict[str, int], key: Column) -> Column:
